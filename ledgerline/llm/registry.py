@@ -7,9 +7,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import near_dup
+from ledgerline.llm import decontaminate, mixing, near_dup, quality_model, quality_rules, substring_dup, token_shards
 
-MODULES: tuple[ModuleType, ...] = (near_dup,)
+MODULES: tuple[ModuleType, ...] = (quality_model, quality_rules, near_dup, mixing, token_shards, substring_dup, decontaminate)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
