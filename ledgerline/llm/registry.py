@@ -7,14 +7,27 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import decontaminate, mixing, near_dup, quality_model, quality_rules, substring_dup, token_shards
-
-MODULES: tuple[ModuleType, ...] = (quality_model, quality_rules, near_dup, mixing, token_shards, substring_dup, decontaminate)
+import corpus_pipeline
+from ledgerline.llm import decontaminate, line_dup, mixing, near_dup, page_text, quality_model, quality_rules, substring_dup, token_shards, url_filter
+
+MODULES: tuple[ModuleType, ...] = (
+    quality_model,
+    line_dup,
+    near_dup,
+    mixing,
+    page_text,
+    quality_rules,
+    token_shards,
+    substring_dup,
+    url_filter,
+    decontaminate,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
+    found = {name: sql for module in MODULES for name, sql in module.SQL.items()}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
