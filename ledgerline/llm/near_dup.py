@@ -1,15 +1,16 @@
 """MinHash near-duplicate detection with odd sketches (operator 3).
 
-1. Every text becomes its set of distinct word shingles (64-bit hashes), and from it
-   128 MinHash samples, 32 band keys of 4 samples each, and a 512-bit odd sketch: a
-   bitmap in which each sample flips one bit. Texts with equal sets form a class; its
-   smallest id stands for it from here on.
-2. In each band bucket every class is compared with the bucket's smallest one. The
-   population count of the XOR of two odd sketches estimates their similarity; each
-   class's best such candidate is confirmed on both full shingle sets.
-3. Buckets that still hold several components are finished exactly: each member
-   against each member of another component, in salted blocks, by sketch first and
-   then on full sets. Pairs inside one component are never made.
+1. Every text becomes its set of distinct word shingles (64-bit hashes), and from it 32
+   band keys of 4 MinHash samples each, and an odd sketch: one-permutation MinHash (the
+   least value of each of 2,048 bins) folded into a bitmap in which each sample flips
+   one bit. Texts with equal sets form a class; its smallest id stands for it.
+2. Every band bucket has a head, drawn by a hash of the bucket and the id, so a class of
+   a large group meets a different head in each bucket. The population count of the XOR
+   of two sketches estimates similarity; each class's best head is confirmed on both
+   full shingle sets. This joins all but a few of a group.
+3. Buckets that still hold several components are finished exactly: the members outside
+   the bucket's largest component against all others of another component, in salted
+   blocks, by sketch and then on full sets. Pairs inside one component are never made.
 4. Components come from contraction joins.
 
 Two documents of similarity 0.75 share a band with probability 1 - 5e-6, and the
@@ -33,7 +34,8 @@ from ledgerline.llm.textbatch import Words, chunks, mix, ragged
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 75
 BANDS, ROWS = 32, 4
-SKETCH_BITS = 512
+#: Bins of the one-permutation samples, and bits of the bitmap they are folded into.
+BINS, SKETCH_BITS = 2048, 2048
 #: Ids broadcast at most (16 MB as longs); beyond it the same join shuffles.
 BROADCAST_IDS = 2_000_000
 #: Members of one block of a bucket that is compared pair by pair.
@@ -47,20 +49,30 @@ _XOR = _rng.integers(0, 1 << 32, size=(_SAMPLES, 1), dtype=np.uint32)
 _BAND_MULT = _rng.integers(1, 1 << 63, size=(BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _BAND_SALT = _rng.integers(1, 1 << 63, size=BANDS, dtype=np.uint64)
 
-SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
+SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, n_samples long"
 
 
-def sketch_limit(percent: int = THRESHOLD_PERCENT) -> int:
-    """Most differing sketch bits at which a pair of that similarity may stand.
+def similar_sketches(percent: int = THRESHOLD_PERCENT) -> str:
+    """SQL that holds for a pair of that similarity, over columns and the same with ``_2``.
 
-    With J estimated from 128 samples the deviation is sqrt(J(1-J)/128); five of them
-    below the threshold, d = 2 * 128 * (1 - J) flips differ, and flips of d samples
-    leave (bits / 2) * (1 - exp(-2d / bits)) odd bits, plus five deviations of those.
+    The sets' union is at most (n + n_2) / (1 + J); its samples fill U bins, of which J
+    match, less five deviations of that sampling (none while every shingle has its own
+    bin). The other samples, d in all, flip bits: bits / 2 * (1 - exp(-2d / bits)) of
+    them end odd, plus five deviations of that.
     """
-    j = percent / 100
-    low = j - 5 * (j * (1 - j) / _SAMPLES) ** 0.5
-    odd = SKETCH_BITS / 2 * (1 - np.exp(-2 * 2 * _SAMPLES * (1 - low) / SKETCH_BITS))
-    return int(odd + 5 * (odd * 0.5) ** 0.5)
+    j, k, bits = percent / 100, BINS, SKETCH_BITS
+    union = f"((n_shingles + n_shingles_2) / {1 + j}D)"
+    filled = f"({k}D * (1 - exp(-{union} / {k}D)))"
+    match = f"({j}D * {filled} - 5 * sqrt({j * (1 - j)}D * {filled} * greatest(1 - {filled} / {union}, 0D) + 1))"
+    differ = f"greatest(n_samples + n_samples_2 - 2 * {match}, 0D)"
+    limit = f"({bits / 2}D * (1 - exp(-2 * d / {bits}D)) + 5 * sqrt(greatest({bits / 4}D * (1 - exp(-4 * d / {bits}D)) - d * exp(-4 * d / {bits}D), 1D)))"
+    sizes = f"100 * least(n_shingles, n_shingles_2) >= {percent} * greatest(n_shingles, n_shingles_2)"
+    return f"{sizes} AND {_apart()} <= {limit.replace(' d ', f' {differ} ')}"
+
+
+def _apart() -> str:
+    """SQL for the differing bits of two sketches."""
+    return "(" + " + ".join(f"bit_count(sketch[{k}] ^ sketch_2[{k}])" for k in range(_LONGS)) + ")"
 
 
 def minhash(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -82,13 +94,26 @@ def minhash(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """(documents x longs) bitmaps in which every MinHash sample flips one bit."""
-    n = len(samples)
-    flips = mix(samples.astype(np.uint64) + (np.arange(_SAMPLES, dtype=np.uint64) << np.uint64(33))) % np.uint64(SKETCH_BITS)
-    at = flips.astype(np.int64) + np.arange(n)[:, None] * SKETCH_BITS
-    odd = np.bincount(at.ravel(), minlength=n * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(bool).reshape(n, SKETCH_BITS), axis=1).view(np.int64)
+def odd_sketch(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """((documents x longs) bitmaps, numbers of samples) of runs of 32-bit values.
+
+    A value's high bits are its bin; the least value of each bin flips one bit.
+    """
+    n = len(sizes)
+    doc = np.repeat(np.arange(n, dtype=np.uint64), sizes)
+    key = np.sort((doc << np.uint64(32)) | values.astype(np.uint64))
+    bin_ = key >> np.uint64(32 - int(np.log2(BINS)))
+    key = key[np.append(True, bin_[1:] != bin_[:-1])] if len(key) else key
+    doc = (key >> np.uint64(32)).astype(np.int64)
+    at = doc * SKETCH_BITS + (mix(key & np.uint64(0xFFFFFFFF)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    out = np.zeros((n, _LONGS), dtype=np.int64)
+    step = 256
+    ends = np.searchsorted(doc, np.arange(0, n + step, step))
+    for k, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        rows = min(step, n - k * step)
+        odd = np.bincount(at[low:high] - k * step * SKETCH_BITS, minlength=rows * SKETCH_BITS) & 1
+        out[k * step : k * step + rows] = np.packbits(odd.astype(bool).reshape(rows, SKETCH_BITS), axis=1).view(np.int64)
+    return out, np.bincount(doc, minlength=n)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,14 +128,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value = mix(keys << np.uint64(12))
             sums = np.zeros((2, n), dtype=np.uint64)
             bands = np.zeros((n, BANDS), dtype=np.int64)
-            sketch = np.zeros((n, _LONGS), dtype=np.int64)
+            sketch, n_samples = odd_sketch((value & np.uint64(0xFFFFFFFF)).astype(np.uint32), sizes)
             if len(full):
                 sums[0, full] = np.add.reduceat(value, first)
                 sums[1, full] = np.add.reduceat(mix(value + np.uint64(1)), first)
                 samples = minhash((value >> np.uint64(32)).astype(np.uint32), first)
                 per_band = samples.reshape(-1, BANDS, ROWS).astype(np.uint64)
                 bands[full] = mix((per_band * _BAND_MULT).sum(axis=2, dtype=np.uint64) + _BAND_SALT).view(np.int64)
-                sketch[full] = odd_sketch(samples)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(low, n),
@@ -118,8 +142,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     *(pa.array(s.view(np.int64)) for s in sums),
                     ragged(pa.array(bands.ravel()), np.full(n, BANDS)),
                     ragged(pa.array(sketch.ravel()), np.full(n, _LONGS)),
+                    pa.array(n_samples),
                 ],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "n_samples"],
             )
 
 
@@ -168,11 +193,6 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int = THRESHOLD_PERCENT)
     )
 
 
-def _apart(left: str, right: str) -> str:
-    """SQL for the differing bits of two sketches."""
-    return " + ".join(f"bit_count({left}[{k}] ^ {right}[{k}])" for k in range(_LONGS))
-
-
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
@@ -180,76 +200,60 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
     shingles and are their own component. Documents need unique, non-null ids; columns
     besides doc_id and text are ignored.
     """
-    limit = sketch_limit(percent)
+    similar = similar_sketches(percent)
     signed = materialize(signatures(docs), "signatures")
-    full = signed.where("n_shingles > 0")
-    classes = full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    member = signed.join(classes, ["n_shingles", "set_a", "set_b"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"), "bands", "sketch"
-    )
-    member = materialize(member, "members")
-    reps = member.where("doc_id = rep and n_shingles > 0")
-    buckets = reps.select("doc_id", "n_shingles", "sketch", F.explode("bands").alias("bucket"))
-
-    # 2. the bucket's smallest class against each other member: the best candidate by sketch
-    heads = materialize(
-        buckets.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")).where("members > 1"), "heads"
-    )
-    near = (
-        buckets.select("doc_id", "bucket")
-        .join(heads, "bucket")
-        .where("doc_id <> head")
-        .groupBy("doc_id", "head")
-        .agg(F.count("*").alias("bands"))
+    sets = ["n_shingles", "set_a", "set_b"]
+    classes = signed.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"))
+    member = materialize(
+        signed.select("doc_id", *sets).join(classes, sets, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members"
     )
-    sketches = reps.select("doc_id", "n_shingles", "sketch")
+    reps = signed.where("n_shingles > 0").join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    reps = reps.select("doc_id", "n_shingles", "n_samples", "sketch", "bands")
+    bucket = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    heads = bucket.groupBy("bucket").agg(F.min_by("doc_id", F.xxhash64("doc_id", "bucket")).alias("head"), F.count("*").alias("members"))
+    heads = materialize(heads.where("members > 1").select("bucket", "head"), "heads")
+    buckets = materialize(bucket.join(heads, "bucket"), "buckets")
+
+    # 2. each class's best head
+    sketches = reps.drop("bands")
+    other = sketches.select(F.col("doc_id").alias("head"), *(F.col(c).alias(f"{c}_2") for c in ("n_shingles", "n_samples", "sketch")))
     first = (
-        near.join(sketches, "doc_id")
-        .join(sketches.select(F.col("doc_id").alias("head"), F.col("n_shingles").alias("m"), F.col("sketch").alias("other")), "head")
-        .withColumn("apart", F.expr(_apart("sketch", "other")))
-        .where(f"apart <= {limit} and 100 * least(n_shingles, m) >= {percent} * greatest(n_shingles, m)")
-        .groupBy(F.col("doc_id").alias("b"))
-        .agg(F.min_by("head", F.struct("apart", "head")).alias("a"))
-        .select("a", "b")
+        buckets.where("doc_id <> head")
+        .select("doc_id", "head")
+        .distinct()
+        .join(sketches, "doc_id")
+        .join(other, "head")
+        .where(similar)
+        .groupBy("doc_id")
+        .agg(F.min_by("head", F.struct(F.expr(_apart()), F.col("head"))).alias("head"))
+        .select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
+        .distinct()
     )
     first = materialize(first, "first-pairs")
     links = materialize(confirm(docs, first, percent), "first-links")
 
     # 3. buckets that still hold several components
     parts = connected_components(links, "a", "b")
-    crowd = heads.where("members > 1").select("bucket")
-    placed = (
-        buckets.join(crowd, "bucket", "left_semi")
-        .join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "doc_id"))
-    )
+    placed = buckets.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = materialize(placed.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     open_ = (
-        placed.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-        .where("low < high")
-        .select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    )
-    rest = materialize(
-        placed.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "open-buckets"
-    )
-    left = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = rest.select(
-        "bucket",
-        F.col("block").alias("other"),
-        F.col("doc_id").alias("doc_2"),
-        F.col("n_shingles").alias("m"),
-        F.col("sketch").alias("sketch_2"),
-        F.col("component").alias("component_2"),
-    )
-    match = (
-        (F.col("l.bucket") == F.col("r.bucket"))
-        & (F.col("l.other") == F.col("r.other"))
-        & F.expr(f"component < component_2 and 100 * least(n_shingles, m) >= {percent} * greatest(n_shingles, m) and {_apart('sketch', 'sketch_2')} <= {limit}")
+        sizes.groupBy("bucket")
+        .agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components"), F.sum("n").alias("members"))
+        .where("components > 1")
+        .select("bucket", "largest", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     )
+    rest = placed.join(open_, "bucket").join(sketches, "doc_id")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rest = materialize(rest.withColumn("outside", F.col("component") != F.col("largest")).drop("largest"), "open-buckets")
+    left = rest.where("outside").drop("block", "outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = rest.drop("blocks").select("bucket", "block", *(F.col(c).alias(f"{c}_2") for c in rest.columns if c not in ("bucket", "block", "blocks")))
+    apart = F.expr(f"component <> component_2 AND (NOT outside_2 OR doc_id < doc_id_2) AND {similar}")
+    match = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.block") == F.col("r.block")) & apart
     more = (
         left.alias("l")
         .join(right.alias("r"), match)
-        .select(F.least("doc_id", "doc_2").alias("a"), F.greatest("doc_id", "doc_2").alias("b"))
+        .select(F.least("doc_id", "doc_id_2").alias("a"), F.greatest("doc_id", "doc_id_2").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
