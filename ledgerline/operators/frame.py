@@ -113,7 +113,7 @@ class FlatFrame:
     def filter(self, *filters: ColumnFilter) -> FlatFrame:
         """Column filters, all of which must hold; without any value the frame stays."""
         found = combined(filters)
-        return self.where(found) if found else self
+        return self.where(found) if found is not None else self
 
     def limit(self, n: int, offset: int = 0) -> FlatFrame:
         """Rows by number."""
