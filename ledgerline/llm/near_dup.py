@@ -2,16 +2,18 @@
 
 1. Every text becomes its set of distinct word shingles (64-bit hashes), and from it 32
    band keys of 4 MinHash samples each, and an odd sketch: one-permutation MinHash (the
-   least value of each of 2,048 bins) folded into a bitmap in which each sample flips
+   least value of each of 8,192 bins) folded into a bitmap in which each sample flips
    one bit. Texts with equal sets form a class; its smallest id stands for it.
 2. Every band bucket has a head, drawn by a hash of the bucket and the id, so a class of
    a large group meets a different head in each bucket. The population count of the XOR
    of two sketches estimates similarity; each class's best head is confirmed on both
    full shingle sets. This joins all but a few of a group.
-3. Buckets that still hold several components are finished exactly: the members outside
-   the bucket's largest component against all others of another component, in salted
-   blocks, by sketch and then on full sets. Pairs inside one component are never made.
-4. Components come from contraction joins.
+3. Buckets that still hold several components draw further heads from their largest one
+   for the members outside it, as long as each turn cuts the pairs left by a fifth.
+4. What is left is finished exactly: the members outside the bucket's largest component
+   against all others of another component, in salted blocks, by sketch and then on full
+   sets. Pairs inside one component are never made.
+5. Components come from contraction joins.
 
 Two documents of similarity 0.75 share a band with probability 1 - 5e-6, and the
 sketch's margin is five standard deviations, so recall is that of an exact join for
@@ -24,22 +26,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bound_batches, materialize, table
 from ledgerline.llm.components import connected_components
-from ledgerline.llm.textbatch import Words, chunks, mix, ragged
+from ledgerline.llm.textbatch import Words, chunks, mix, ragged, text_buffers
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 75
 BANDS, ROWS = 32, 4
 #: Bins of the one-permutation samples, and bits of the bitmap they are folded into.
-BINS, SKETCH_BITS = 2048, 2048
+BINS, SKETCH_BITS = 8192, 2048
 #: Ids broadcast at most (16 MB as longs); beyond it the same join shuffles.
 BROADCAST_IDS = 2_000_000
-#: Members of one block of a bucket that is compared pair by pair.
-BLOCK = 256
+#: Members of one block of a bucket that is compared pair by pair, and rows of blocks in one group.
+BLOCK, CELL_ROWS = 1024, 8192
+#: Turns of further heads at most, and pairs left from which the exact finish is cheaper than a turn.
+TURNS, FINISH_PAIRS = 8, 200_000
 
 _SAMPLES = BANDS * ROWS
 _LONGS = SKETCH_BITS // 64
@@ -49,30 +53,31 @@ _XOR = _rng.integers(0, 1 << 32, size=(_SAMPLES, 1), dtype=np.uint32)
 _BAND_MULT = _rng.integers(1, 1 << 63, size=(BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _BAND_SALT = _rng.integers(1, 1 << 63, size=BANDS, dtype=np.uint64)
 
-SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, n_samples long"
+SIGNATURE = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary, n_samples long"
 
 
-def similar_sketches(percent: int = THRESHOLD_PERCENT) -> str:
-    """SQL that holds for a pair of that similarity, over columns and the same with ``_2``.
+def similar(sizes: np.ndarray, samples: np.ndarray, apart: np.ndarray, percent: int = THRESHOLD_PERCENT) -> np.ndarray:
+    """Which pairs can have the similarity, from both sets' sizes, samples and differing bits.
 
-    The sets' union is at most (n + n_2) / (1 + J); its samples fill U bins, of which J
-    match, less five deviations of that sampling (none while every shingle has its own
-    bin). The other samples, d in all, flip bits: bits / 2 * (1 - exp(-2d / bits)) of
-    them end odd, plus five deviations of that.
+    ``sizes`` and ``samples`` are (2 x pairs). The sets' union is at most (n + n2) / (1 + J);
+    its samples fill U bins, of which J match, less five deviations of that sampling (next
+    to none while every shingle has its own bin). The other samples, d in all, flip bits:
+    at most d end odd, and as good as never more than bits / 2 * (1 - exp(-2d / bits))
+    plus five deviations of that.
     """
-    j, k, bits = percent / 100, BINS, SKETCH_BITS
-    union = f"((n_shingles + n_shingles_2) / {1 + j}D)"
-    filled = f"({k}D * (1 - exp(-{union} / {k}D)))"
-    match = f"({j}D * {filled} - 5 * sqrt({j * (1 - j)}D * {filled} * greatest(1 - {filled} / {union}, 0D) + 1))"
-    differ = f"greatest(n_samples + n_samples_2 - 2 * {match}, 0D)"
-    limit = f"({bits / 2}D * (1 - exp(-2 * d / {bits}D)) + 5 * sqrt(greatest({bits / 4}D * (1 - exp(-4 * d / {bits}D)) - d * exp(-4 * d / {bits}D), 1D)))"
-    sizes = f"100 * least(n_shingles, n_shingles_2) >= {percent} * greatest(n_shingles, n_shingles_2)"
-    return f"{sizes} AND {_apart()} <= {limit.replace(' d ', f' {differ} ')}"
+    j, bits = percent / 100, SKETCH_BITS
+    union = np.maximum(sizes.sum(axis=0) / (1 + j), 1)
+    filled = BINS * -np.expm1(-union / BINS)
+    spread = np.sqrt(j * (1 - j) * filled * np.maximum(1 - filled / union, 0) + 0.1)
+    differ = np.maximum(samples.sum(axis=0) - 2 * j * filled + 10 * spread, 0)
+    odd = bits / 2 * -np.expm1(-2 * differ / bits)
+    spread = np.sqrt(np.maximum(bits / 4 * -np.expm1(-4 * differ / bits) - differ * np.exp(-4 * differ / bits), 1))
+    return (100 * sizes.min(axis=0) >= percent * sizes.max(axis=0)) & (apart <= np.minimum(differ, odd + 5 * spread))
 
 
-def _apart() -> str:
-    """SQL for the differing bits of two sketches."""
-    return "(" + " + ".join(f"bit_count(sketch[{k}] ^ sketch_2[{k}])" for k in range(_LONGS)) + ")"
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """(rows x longs) of a column of bitmaps."""
+    return text_buffers(column)[0].view(np.uint64).reshape(len(column), _LONGS)
 
 
 def minhash(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -141,7 +146,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(sizes, pa.int64()),
                     *(pa.array(s.view(np.int64)) for s in sums),
                     ragged(pa.array(bands.ravel()), np.full(n, BANDS)),
-                    ragged(pa.array(sketch.ravel()), np.full(n, _LONGS)),
+                    pa.array([x.tobytes() for x in sketch], pa.binary()),
                     pa.array(n_samples),
                 ],
                 names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "n_samples"],
@@ -193,6 +198,99 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int = THRESHOLD_PERCENT)
     )
 
 
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, head, apart) of the similar ones among rows with both sides' columns."""
+    for batch in batches:
+        apart = np.bitwise_count(_sketches(batch.column("sketch")) ^ _sketches(batch.column("sketch_2"))).sum(axis=1, dtype=np.int64)
+        sizes, samples = (np.stack([batch.column(c).to_numpy(), batch.column(f"{c}_2").to_numpy()]) for c in ("n_shingles", "n_samples"))
+        near = pa.array(similar(sizes, samples, apart, percent))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("head"), pa.array(apart)], names=["doc_id", "head", "apart"]).filter(near)
+
+
+def best_heads(tries: DataFrame, sketches: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """(a, b): of each document's (doc_id, head) tries, the similar one nearest by sketch."""
+    other = sketches.select(F.col("doc_id").alias("head"), *(F.col(c).alias(f"{c}_2") for c in sketches.columns if c != "doc_id"))
+    return (
+        tries.distinct()
+        .join(sketches, "doc_id")
+        .join(other, "head")
+        .mapInArrow(lambda rows: _near(rows, percent), "doc_id long, head long, apart long")
+        .groupBy("doc_id")
+        .agg(F.min_by("head", F.struct("apart", "head")).alias("head"))
+        .select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
+        .distinct()
+    )
+
+
+def merged(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``placed`` (bucket, doc_id, component) with the components that the links (a, b) join."""
+    at = placed.select("doc_id", "component").distinct()
+    edges = links.join(at.toDF("a", "src"), "a").join(at.toDF("b", "dst"), "b").select("src", "dst")
+    to = connected_components(edges).toDF("component", "upper")
+    return placed.join(to, "component", "left").select("bucket", "doc_id", F.coalesce("upper", "component").alias("component"))
+
+
+def open_buckets(placed: DataFrame) -> DataFrame:
+    """(bucket, largest component, members, members outside it) of buckets with several components."""
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    found = sizes.groupBy("bucket").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("members"), F.max("n").alias("inside"), F.count("*").alias("components")
+    )
+    return found.where("components > 1").select("bucket", "largest", "members", (F.col("members") - F.col("inside")).alias("outside"))
+
+
+def _block_pairs(rows: pa.Table, percent: int) -> pa.Table:
+    """The similar pairs of the blocks in these rows; each block has left and right members."""
+    rows = rows.sort_by([("bucket", "ascending"), ("block", "ascending"), ("other", "ascending"), ("right", "ascending")])
+    bucket, block, other, right, doc, component, size, samples, outside = (
+        rows.column(c).to_numpy() for c in ("bucket", "block", "other", "right", "doc_id", "component", "n_shingles", "n_samples", "outside")
+    )
+    sketch = _sketches(rows.column("sketch"))
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(doc), BANDS)
+    new = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(block) != 0) | (np.diff(other) != 0)) + 1
+    found: list[np.ndarray] = []
+    for low, high in zip(np.append(0, new), np.append(new, len(doc)), strict=True):
+        middle = low + int(np.searchsorted(right[low:high], True))
+        for k in range(low, middle):
+            apart = np.bitwise_count(sketch[middle:high] ^ sketch[k]).sum(axis=1, dtype=np.int64)
+            pair = lambda x, k=k, m=middle, h=high: np.stack([np.full(h - m, x[k]), x[m:h]])
+            hit = similar(pair(size), pair(samples), apart, percent) & (component[middle:high] != component[k])
+            # two outside members meet twice, and in every bucket that they share: told once
+            hit &= ~outside[middle:high] | (doc[k] < doc[middle:high])
+            hit = np.flatnonzero(hit) + middle
+            if len(hit):
+                same = bands[hit] == bands[k]
+                hit = hit[bands[k][same.argmax(axis=1)] == bucket[k]]
+                found.append(np.stack([np.full(len(hit), doc[k]), doc[hit]]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+    return pa.table({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
+
+
+def remaining_pairs(placed: DataFrame, open_: DataFrame, reps: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """(a, b): every pair of an open bucket in different components with similar sketches.
+
+    Members outside the largest component meet all others, block by block; blocks and the
+    cells that hold several of them have a bounded number of rows. A pair that shares
+    several buckets is told by the first of them alone.
+    """
+
+    def blocks(n: str) -> Column:
+        return F.ceil(F.col(n) / BLOCK).cast("int")
+
+    def numbered(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    open_ = open_.select("bucket", "largest", blocks("members").alias("rights"), blocks("outside").alias("lefts"))
+    rest = placed.join(open_, "bucket").withColumn("outside", F.col("component") != F.col("largest")).join(reps, "doc_id")
+    own = lambda n: F.pmod(F.xxhash64("doc_id", "bucket"), F.col(n)).cast("int")
+    left = rest.where("outside").withColumn("block", own("lefts")).withColumn("other", numbered(F.col("rights"))).withColumn("right", F.lit(False))
+    right = rest.withColumn("other", own("rights")).withColumn("block", numbered(F.col("lefts"))).withColumn("right", F.lit(True))
+    sides = materialize(left.unionByName(right).drop("largest", "lefts", "rights"), "open-buckets")
+    cells = -(-sides.count() // CELL_ROWS)
+    sides = sides.withColumn("cell", F.pmod(F.xxhash64("bucket", "block", "other"), F.lit(max(cells, 1))))
+    return sides.groupBy("cell").applyInArrow(lambda rows: _block_pairs(rows, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
@@ -200,7 +298,6 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
     shingles and are their own component. Documents need unique, non-null ids; columns
     besides doc_id and text are ignored.
     """
-    similar = similar_sketches(percent)
     signed = materialize(signatures(docs), "signatures")
     sets = ["n_shingles", "set_a", "set_b"]
     classes = signed.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"))
@@ -209,61 +306,39 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
     )
     reps = signed.where("n_shingles > 0").join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
     reps = reps.select("doc_id", "n_shingles", "n_samples", "sketch", "bands")
-    bucket = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    heads = bucket.groupBy("bucket").agg(F.min_by("doc_id", F.xxhash64("doc_id", "bucket")).alias("head"), F.count("*").alias("members"))
-    heads = materialize(heads.where("members > 1").select("bucket", "head"), "heads")
-    buckets = materialize(bucket.join(heads, "bucket"), "buckets")
-
-    # 2. each class's best head
     sketches = reps.drop("bands")
-    other = sketches.select(F.col("doc_id").alias("head"), *(F.col(c).alias(f"{c}_2") for c in ("n_shingles", "n_samples", "sketch")))
-    first = (
-        buckets.where("doc_id <> head")
-        .select("doc_id", "head")
-        .distinct()
-        .join(sketches, "doc_id")
-        .join(other, "head")
-        .where(similar)
-        .groupBy("doc_id")
-        .agg(F.min_by("head", F.struct(F.expr(_apart()), F.col("head"))).alias("head"))
-        .select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
-        .distinct()
-    )
-    first = materialize(first, "first-pairs")
-    links = materialize(confirm(docs, first, percent), "first-links")
 
-    # 3. buckets that still hold several components
-    parts = connected_components(links, "a", "b")
-    placed = buckets.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = materialize(placed.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    open_ = (
-        sizes.groupBy("bucket")
-        .agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components"), F.sum("n").alias("members"))
-        .where("components > 1")
-        .select("bucket", "largest", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    )
-    rest = placed.join(open_, "bucket").join(sketches, "doc_id")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rest = materialize(rest.withColumn("outside", F.col("component") != F.col("largest")).drop("largest"), "open-buckets")
-    left = rest.where("outside").drop("block", "outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    right = rest.drop("blocks").select("bucket", "block", *(F.col(c).alias(f"{c}_2") for c in rest.columns if c not in ("bucket", "block", "blocks")))
-    apart = F.expr(f"component <> component_2 AND (NOT outside_2 OR doc_id < doc_id_2) AND {similar}")
-    match = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.block") == F.col("r.block")) & apart
-    more = (
-        left.alias("l")
-        .join(right.alias("r"), match)
-        .select(F.least("doc_id", "doc_id_2").alias("a"), F.greatest("doc_id", "doc_id_2").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = materialize(more, "more-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(materialize(confirm(docs, more, percent), "more-links"))
-        parts = connected_components(links, "a", "b")
+    def drawn(members: DataFrame, turn: int) -> DataFrame:
+        """A head of each bucket, by a hash of the bucket, the id and the turn."""
+        return members.groupBy("bucket").agg(F.min_by("doc_id", F.xxhash64("doc_id", "bucket", F.lit(turn))).alias("head"), F.count("*").alias("n"))
+
+    # 2. each class's best head
+    bucket = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    heads = materialize(drawn(bucket, 0).where("n > 1").select("bucket", "head"), "heads")
+    buckets = materialize(bucket.join(heads, "bucket"), "buckets")
+    pairs = materialize(best_heads(buckets.where("doc_id <> head").select("doc_id", "head"), sketches, percent), "pairs")
+    placed = materialize(merged(buckets.select("bucket", "doc_id", F.col("doc_id").alias("component")), confirm(docs, pairs, percent)), "placed")
+
+    # 3. further heads, from each open bucket's largest component
+    work = None
+    for turn in range(1, TURNS + 1):
+        open_ = materialize(open_buckets(placed), "open")
+        left = open_.agg(F.sum(F.col("members") * F.col("outside"))).first()[0] or 0
+        if left <= FINISH_PAIRS or (work is not None and left > 0.8 * work):
+            break
+        work = left
+        inside = placed.join(open_.select("bucket", F.col("largest").alias("component")), ["bucket", "component"], "left_semi")
+        tries = placed.join(open_.select("bucket", "largest"), "bucket").where("component <> largest").join(drawn(inside, turn).drop("n"), "bucket")
+        pairs = materialize(best_heads(tries.select("doc_id", "head"), sketches, percent), "pairs")
+        placed = materialize(merged(placed, confirm(docs, pairs, percent)), "placed")
+
+    # 4. what still is apart, exactly
+    pairs = materialize(remaining_pairs(placed, open_buckets(placed), reps, percent), "pairs")
+    if not pairs.isEmpty():
+        placed = merged(placed, confirm(docs, pairs, percent))
+    parts = placed.select(F.col("doc_id").alias("rep"), "component").distinct()
     return (
-        member.select("doc_id", "n_shingles", "rep")
-        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        member.join(parts, "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )
