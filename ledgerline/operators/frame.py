@@ -15,7 +15,7 @@ from ledgerline.operators.filters import ColumnFilter, combined
 from ledgerline.operators.predicates import Predicate
 from ledgerline.profile import Profile, infer_columns
 from ledgerline.sources import exports
-from ledgerline.sources.records import head, line_ending, read_records
+from ledgerline.sources.records import head, line_ending, read_fixed, read_records
 
 ROW, VALUE = "_row", "value"
 SAMPLE_RECORDS, INFER_RECORDS, PAGE_ROWS = 200, 20, 2048
@@ -23,7 +23,10 @@ SAMPLE_RECORDS, INFER_RECORDS, PAGE_ROWS = 200, 20, 2048
 
 @dataclass(frozen=True)
 class FlatFrame:
-    """Lazy: every method returns a new frame, and ``df`` is what Spark will run."""
+    """Lazy: every method returns a new frame, and ``df`` is what Spark will run.
+
+    ``path`` is set while the frame holds every record of a file.
+    """
 
     records: DataFrame
     profile: Profile
@@ -108,7 +111,7 @@ class FlatFrame:
         return self.records.where(F.col(ROW) >= skip) if skip else self.records
 
     def where(self, predicate: Predicate) -> FlatFrame:
-        return replace(self, records=self._data().where(predicate.build(self.cells)))
+        return replace(self, records=self._data().where(predicate.build(self.cells)), path=None)
 
     def filter(self, *filters: ColumnFilter) -> FlatFrame:
         """Column filters, all of which must hold; without any value the frame stays."""
@@ -118,7 +121,7 @@ class FlatFrame:
     def limit(self, n: int, offset: int = 0) -> FlatFrame:
         """Rows by number."""
         _checked_window(n, offset)
-        return replace(self, records=self._data().orderBy(ROW).offset(offset).limit(n))
+        return replace(self, records=self._data().orderBy(ROW).offset(offset).limit(n), path=None)
 
     def top(self, n: int, by: str, descending: bool = False, offset: int = 0) -> FlatFrame:
         """The first rows by one column, ties by row number.
@@ -130,7 +133,7 @@ class FlatFrame:
         c = self.profile.column(by)[1]
         key = self.cells.number(by) if c.numeric else self.cells.text(by)
         key = key.desc_nulls_first() if descending else key.asc_nulls_last()
-        return replace(self, records=self._data().orderBy(key, F.col(ROW).asc()).offset(offset).limit(n))
+        return replace(self, records=self._data().orderBy(key, F.col(ROW).asc()).offset(offset).limit(n), path=None)
 
     def query(self, columns: Sequence[str] | None = None, where: Predicate | None = None, order_by: str | None = None, descending: bool = False, limit: int | None = None, offset: int = 0) -> FlatFrame:
         """One statement: select, where, order by with limit, limit and offset."""
@@ -138,7 +141,7 @@ class FlatFrame:
             raise QueryError("ORDER BY needs a LIMIT")
         if offset and limit is None:
             raise QueryError("OFFSET needs a LIMIT")
-        frame = self.where(where) if where is not None else replace(self, records=self._data())
+        frame = self.where(where) if where is not None else replace(self, records=self._data(), path=None)
         if order_by is not None and limit is not None:
             frame = frame.top(limit, order_by, descending, offset)
         elif limit is not None:
@@ -153,7 +156,12 @@ class FlatFrame:
     def rows(self, start: int, count: int) -> FlatFrame:
         """A page of rows by number, header records included; at most 2,048."""
         _checked_window(count, start)
-        return replace(self, records=self.records.where((F.col(ROW) >= start) & (F.col(ROW) < start + min(count, PAGE_ROWS))))
+        count = min(count, PAGE_ROWS)
+        if self.path is not None and self.profile.line_ending == "none":
+            found = read_fixed(self.records.sparkSession, self.path, self.profile.record_width, start, count)
+        else:
+            found = self.records.where((F.col(ROW) >= start) & (F.col(ROW) < start + count))
+        return replace(self, records=found, path=None)
 
     def go_to(self, number: int) -> FlatFrame:
         """The row that is shown as ``number``, from 1."""
@@ -204,4 +212,4 @@ def concat_records(frames: Sequence[FlatFrame]) -> FlatFrame:
     """Frames of one layout, one after another; row numbers are those of each frame."""
     if len({f.profile for f in frames}) != 1:
         raise LayoutError(["frames of different layouts"])
-    return replace(frames[0], records=reduce(DataFrame.unionByName, (f.records for f in frames)))
+    return replace(frames[0], records=reduce(DataFrame.unionByName, (f.records for f in frames)), path=None)

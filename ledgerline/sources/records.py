@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ledgerline.profile import Profile
 
@@ -71,9 +71,9 @@ class _Span(InputPartition):
 class FixedRecords(DataSource):
     """Format ``flat_records``: back-to-back records of ``recordLength`` bytes.
 
-    Options: path (a file, or comma-separated files in order), recordLength. A leading
-    byte order mark is skipped and a partial last record dropped. Comparisons of _row
-    with constants become byte ranges.
+    Options: path (a file, or comma-separated files in order), recordLength, and
+    firstRow and rowCount for a window of rows, which reads its byte range only. A
+    leading byte order mark is skipped and a partial last record dropped.
     """
 
     @classmethod
@@ -90,18 +90,9 @@ class FixedRecords(DataSource):
 class _FixedReader(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in options["path"].split(",") if p]
-        self.length = int(options["recordlength"] if "recordlength" in options else options["recordLength"])
-        self.low, self.high = 0, None
-
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute == ("_row",):
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    end = f.value + (not isinstance(f, LessThan))
-                    self.high = end if self.high is None else min(self.high, end)
-            yield f  # Spark checks again
+        self.length = int(options["recordLength"])
+        self.low = int(options.get("firstRow", 0))
+        self.high = self.low + int(options["rowCount"]) if "rowCount" in options else None
 
     def partitions(self) -> Sequence[InputPartition]:
         spans, before = [], 0
@@ -130,12 +121,13 @@ class _FixedReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([rows, values.cast(pa.binary())], names=["_row", "value"])
 
 
-def read_fixed(spark: SparkSession, path: str | Sequence[str], length: int) -> DataFrame:
-    """Fixed-length records without terminators."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_fixed(spark: SparkSession, path: str | Sequence[str], length: int, first: int = 0, count: int | None = None) -> DataFrame:
+    """Fixed-length records without terminators: all, or ``count`` of them from row ``first``."""
     spark.dataSource.register(FixedRecords)
-    paths = [path] if isinstance(path, str) else list(path)
-    return spark.read.format("flat_records").option("recordLength", length).load(",".join(paths))
+    reader = spark.read.format("flat_records").option("recordLength", length).option("firstRow", first)
+    if count is not None:
+        reader = reader.option("rowCount", count)
+    return reader.load(path if isinstance(path, str) else ",".join(path))
 
 
 def read_records(spark: SparkSession, path: str | Sequence[str], profile: Profile) -> DataFrame:
