@@ -4,7 +4,7 @@ All DataFrame functions. A page becomes its text lines; a line's frequency is th
 of its host's pages that hold it. Lines above the boilerplate ratio are dropped from
 every page of the host. A host can have at most (lines per page / ratio) such lines, so
 what joins back to the pages is small, and hosts of any size are counted by partial
-sums, not in one group.
+sums, not in one group. Lines travel as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from ledgerline.llm.url_filter import host
 RATIO = 0.3
 #: Pages from which a host's shares mean something; smaller hosts keep all lines.
 LEAST_PAGES = 10
+#: Lines broadcast at most, over all hosts (8 bytes each); beyond it the same join shuffles.
+BROADCAST_LINES = 2_000_000
 #: What ends a line of text in HTML.
 BLOCK_TAGS = (
     "address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer",
@@ -39,9 +41,9 @@ def text_lines(html: Column) -> Column:
 
 
 def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, line, share) of the lines above the ratio, from (host, lines) rows."""
+    """(host, line, share) of the lines above the ratio, by hash, from (host, hashes) rows."""
     totals = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    held = pages.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    held = pages.select("host", F.explode(F.array_distinct("hashes")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     return held.join(totals, "host").where(F.col("n") > F.col("pages") * ratio).select("host", "line", (F.col("n") / F.col("pages")).alias("share"))
 
 
@@ -53,9 +55,13 @@ def drop_site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = L
     site, the empty host. Repeated page rows count as pages; other columns are ignored.
     """
     held = materialize(pages.select("page_id", host(F.col("url")).alias("host"), text_lines(F.col("html")).alias("lines")), "page-lines")
+    held = held.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
     site = boilerplate_lines(held, ratio, least_pages).groupBy("host").agg(F.collect_set("line").alias("site"))
-    kept = F.when(F.col("site").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("site", x)))
-    cleaned = held.join(site, "host", "left").select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
+    site = materialize(site, "site-lines")
+    few = (site.agg(F.sum(F.size("site"))).first()[0] or 0) <= BROADCAST_LINES
+    kept = F.when(F.col("site").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("site", F.xxhash64(x))))
+    cleaned = held.join(F.broadcast(site) if few else site, "host", "left")
+    cleaned = cleaned.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return cleaned.select(
         "page_id", "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text")
     )
