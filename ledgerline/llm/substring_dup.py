@@ -9,9 +9,9 @@ gaps, which compacts to one span of words with its source coordinates.
    document that has it; the others are already known to repeat. Kept edges are packed
    as 64-bit hashes, in document order, per bucket of the hash.
 2. Each bucket, in one task of bounded size, finds each edge's colour and answers with
-   the numbers of the repeated edges of each document.
-3. The answers join the documents, which recount their windows, turn edge numbers back
-   into positions, compact adjacent ones to spans and cut the covered words.
+   the numbers of the repeated edges of each document, packed by part of the documents.
+3. Each part's answers meet its documents, which recount their windows, turn edge numbers
+   back into positions, compact adjacent ones to spans and cut the covered words.
 
 A passage in a third of all documents sends one edge per slab, not one per document,
 so no bucket grows with a group of copies.
@@ -20,11 +20,12 @@ so no bucket grows with a group of copies.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bound_batches, table
@@ -33,10 +34,10 @@ from ledgerline.llm.textbatch import Words, chunks
 WINDOW_WORDS = 13
 #: Text bytes per hash bucket: about three million edges, some 100 MB while one is worked on.
 BUCKET_BYTES = 20 << 20
-#: Text bytes of a slab.
-SLAB_BYTES = 12 << 20
+#: Text bytes of a slab, and about as many of a part of the documents.
+SLAB_BYTES, PART_BYTES = 12 << 20, 16 << 20
 
-ANSWERS = "doc_id long, bucket int, numbers binary"
+ANSWERS = "part int, bucket int, docs binary, counts binary, numbers binary"
 SPANS = "doc_id long, n_words long, n_removed long, kept_sha256 string, starts array<int>, ends array<int>"
 
 
@@ -104,78 +105,97 @@ def _repeats(doc: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return out
 
 
-def _colour(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The repeated edges of each document in this task's buckets."""
+def _colour(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The repeated edges of each document in this task's buckets, one row per bucket and part."""
     rows: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for batch in batches:
         for row in batch.to_pylist():
             docs, counts = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["counts"], "<u4")
             known = np.unpackbits(np.frombuffer(row["repeats"], "u1"), count=int(counts.sum())).astype(bool)
             rows.setdefault(row["bucket"], []).append((docs, counts, known, np.frombuffer(row["edges"], "<u8")))
-    for bucket, parts in rows.items():
-        docs, counts, repeats, edges = (np.concatenate(x) for x in zip(*parts, strict=True))
+    for bucket, found in rows.items():
+        docs, counts, repeats, edges = (np.concatenate(x) for x in zip(*found, strict=True))
         counts = counts.astype(np.int64)
         which = np.repeat(np.arange(len(docs)), counts)
         open_ = np.flatnonzero(~repeats)
         repeats[open_] = _repeats(docs[which[open_]], edges)
         first = np.cumsum(counts) - counts
         hit = np.flatnonzero(repeats)
+        if not len(hit):
+            continue
         of = which[hit]
         numbers = (hit - first[of]).astype("<u4")
-        cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, dtype=int)
-        blobs = [numbers[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(of)), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(docs[of[cuts]]), pa.array(np.full(len(cuts), bucket, dtype=np.int32)), pa.array(blobs, pa.binary())],
-            names=["doc_id", "bucket", "numbers"],
-        )
+        cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        sizes = np.diff(np.append(cuts, len(of)))
+        doc = docs[of[cuts]]
+        part = np.array([part_of(d, parts) for d in doc.tolist()])
+        order = np.argsort(part, kind="stable")
+        packed = []
+        for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            n = sizes[own]
+            at = np.repeat(cuts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            packed.append((int(part[own[0]]), bucket, doc[own].astype("<i8").tobytes(), n.astype("<u4").tobytes(), numbers[at].tobytes()))
+        yield pa.RecordBatch.from_pylist([dict(zip(_ANSWERS.names, x, strict=True)) for x in packed], _ANSWERS)
 
 
-def repeated_edges(docs: DataFrame, k: int = WINDOW_WORDS) -> tuple[DataFrame, int]:
-    """((doc_id, bucket, numbers) of repeated edges, number of buckets)."""
-    bound_batches(docs.sparkSession)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
-    packed = docs.select("doc_id", "text").mapInArrow(lambda rows: _edges(rows, k, buckets), PACKED)
-    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_colour, ANSWERS), buckets
+_ANSWERS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("numbers", pa.binary())])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        answers = batch.column("answers").to_pylist()
-        for low, high, data, offsets in chunks(batch.column("text")):
-            words = Words(data, offsets)
-            at, edge = words.windows(k) if any(answers[low:high]) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
-            place = bucket_of(edge, buckets)
-            bounds = np.searchsorted(at, words.first)
-            removed, shas, starts, ends = [], [], [], []
-            for j in range(high - low):
-                first, last = words.first[j], words.first[j + 1]
-                begin, stop = [], []
-                gone = np.zeros(last - first, dtype=bool)
-                if answers[low + j]:
-                    own = slice(bounds[j], bounds[j + 1])
-                    hit = np.concatenate([at[own][place[own] == a["bucket"]][np.frombuffer(a["numbers"], "<u4")] for a in answers[low + j]])
-                    hit = np.sort(hit) - first
-                    begin, stop = compact(hit, k)
-                    step = np.zeros(last - first + 1, dtype=np.int64)
-                    step[begin] += 1
-                    step[stop] -= 1
-                    gone = np.cumsum(step[:-1]) > 0
-                shas.append(_sha(words, int(first), gone))
-                removed.append(int(gone.sum()))
-                starts.append([int(x) for x in begin])
-                ends.append([int(x) for x in stop])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(low, high - low),
-                    pa.array(words.counts, pa.int64()),
-                    pa.array(removed, pa.int64()),
-                    pa.array(shas, pa.string()),
-                    pa.array(starts, pa.list_(pa.int32())),
-                    pa.array(ends, pa.list_(pa.int32())),
-                ],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "starts", "ends"],
-            )
+def part_of(doc_id: int, parts: int) -> int:
+    """The part of the documents that an id belongs to, as ``_part`` says it in Spark."""
+    return zlib.crc32(b"%d" % doc_id) % parts
+
+
+def _part(doc_id: Column, parts: int) -> Column:
+    return (F.crc32(doc_id.cast("string").cast("binary")) % parts).cast("int")
+
+
+def repeated_edges(docs: DataFrame, k: int, buckets: int, parts: int) -> DataFrame:
+    """(part, bucket, docs, counts, numbers): packed numbers of the repeated edges of documents."""
+    packed = docs.select("doc_id", "text").mapInArrow(lambda rows: _edges(rows, k, buckets), PACKED)
+    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(lambda rows: _colour(rows, parts), ANSWERS)
+
+
+def _cut(docs: pa.Table, answers: pa.Table, k: int, buckets: int) -> pa.Table:
+    """Spans and digests of one part's documents."""
+    told: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for row in answers.to_pylist():
+        numbers = np.frombuffer(row["numbers"], "<u4")
+        ends = np.cumsum(np.frombuffer(row["counts"], "<u4"), dtype=np.int64).tolist()
+        for doc, low, high in zip(np.frombuffer(row["docs"], "<i8").tolist(), [0, *ends], ends, strict=False):
+            told.setdefault(doc, []).append((row["bucket"], numbers[low:high]))
+    ids = docs.column("doc_id").to_pylist()
+    found = []
+    for low, high, data, offsets in chunks(docs.column("text")):
+        words = Words(data, offsets)
+        own = [told.get(d, ()) for d in ids[low:high]]
+        at, edge = words.windows(k) if any(own) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
+        place = bucket_of(edge, buckets)
+        bounds = np.searchsorted(at, words.first)
+        removed, shas, starts, ends = [], [], [], []
+        for j, parts in enumerate(own):
+            first, last = words.first[j], words.first[j + 1]
+            begin, stop = [], []
+            gone = np.zeros(last - first, dtype=bool)
+            if parts:
+                mine, where = at[bounds[j] : bounds[j + 1]], place[bounds[j] : bounds[j + 1]]
+                hit = np.sort(np.concatenate([mine[where == b][numbers] for b, numbers in parts])) - first
+                begin, stop = compact(hit, k)
+                step = np.zeros(last - first + 1, dtype=np.int64)
+                step[begin] += 1
+                step[stop] -= 1
+                gone = np.cumsum(step[:-1]) > 0
+            shas.append(_sha(words, int(first), gone))
+            removed.append(int(gone.sum()))
+            starts.append([int(x) for x in begin])
+            ends.append([int(x) for x in stop])
+        found.append(pa.table([ids[low:high], words.counts, removed, shas, starts, ends], schema=_SPANS))
+    return pa.concat_tables(found) if found else _SPANS.empty_table()
+
+
+_SPANS = pa.schema(
+    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]
+)
 
 
 def compact(edges: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,10 +219,12 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW_WORDS) -> DataFrame:
     smallest doc_id keeps a passage; repeats inside one document stay. Documents need
     unique ids; other columns are ignored; an empty table gives no rows.
     """
-    answers, buckets = repeated_edges(docs, k)
-    answers = answers.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "numbers")).alias("answers"))
-    joined = docs.select("doc_id", "text").join(answers, "doc_id", "left").select("doc_id", "text", "answers")
-    return joined.mapInArrow(lambda rows: _cut(rows, k, buckets), SPANS)
+    bound_batches(docs.sparkSession)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets, parts = (max(1, -(-total // n)) for n in (BUCKET_BYTES, PART_BYTES))
+    answers = repeated_edges(docs, k, buckets, parts).groupBy("part")
+    own = docs.select("doc_id", "text", _part(F.col("doc_id"), parts).alias("part")).groupBy("part")
+    return own.cogroup(answers).applyInArrow(lambda left, right: _cut(left, right, k, buckets), SPANS)
 
 
 def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
