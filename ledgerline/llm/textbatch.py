@@ -51,6 +51,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """64-bit hashes of spans of ``data``, with these values of its bytes."""
+    up, down = _power(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(values[data] * up[:-1], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start])
+
+
 class Words:
     """The words of consecutive documents: byte spans, document numbers, hashes."""
 
@@ -76,10 +84,7 @@ class Words:
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte spans."""
-        up, down = _power(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((_BYTE_FOLDED if self._fold else _BYTE)[self.data] * up[:-1], out=sums[1:])
-        return mix((sums[end] - sums[start]) * down[start])
+        return span_hash(self.data, start, end, _BYTE_FOLDED if self._fold else _BYTE)
 
     @property
     def hash(self) -> np.ndarray:

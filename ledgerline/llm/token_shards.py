@@ -19,7 +19,7 @@ marks                 ids before every 1,024th code, for random access
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bound_batches, materialize, table
+from ledgerline.llm.textbatch import chunks, span_hash
 
 END_ID = 0
 #: Symbols from here on are nonterminals; above every id of a byte-level vocabulary.
@@ -37,9 +38,10 @@ FIRST_RULE = 1 << 16
 SHARD_TOKENS = 1 << 20
 ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 5, 2048, 12
 MARK_EVERY = 1024
-#: Encoded units that a worker remembers.
-CACHE_UNITS = 600_000
-_TABLE_BITS = 20
+#: Encoded units that a worker remembers, and units handed to the tokenizer at once.
+CACHE_UNITS, LEARN_UNITS = 1_000_000, 2048
+_TABLE_BITS = 18
+_SLOTS = 1 << 22
 
 SHARDS = (
     "part int, shard int, doc_ids array<long>, doc_tokens array<long>, n_tokens long, "
@@ -58,71 +60,110 @@ class Encoder:
     """Exact ids of whole texts by a byte-level tokenizer, with units encoded once.
 
     Byte-level pre-tokens never span the place before a space that a letter or other
-    printable character follows, so a text's ids are those of the units between such
-    places; words repeat, so most units are already known.
+    printable character follows, nor those between a letter and closing punctuation or
+    a line feed, nor around a single line feed before a letter. A text's ids are those of the units between such places; units repeat,
+    so most are already known, and are looked up by the 64-bit hashes of their bytes.
     """
 
-    _CUT = "[!-~À-Ͽ]"
-
     def __init__(self, path: str):
+        # tasks are Spark's parallelism: one thread each
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._odd = re.compile(f" (?!{self._CUT})")
-        self._split = re.compile(f"(?= {self._CUT})")
         self._clear()
 
     def _clear(self) -> None:
-        self._code: dict[str, int] = {}
-        self._ids = np.zeros(1 << 16, dtype=np.uint16)
-        self._at = np.zeros(1 << 16, dtype=np.int64)
-        self._size = np.zeros(1 << 16, dtype=np.int64)
-        self._used = 0
-
-    @staticmethod
-    def _room(array: np.ndarray, n: int) -> np.ndarray:
-        return array if n <= len(array) else np.concatenate((array, np.zeros(max(n, len(array)), dtype=array.dtype)))
-
-    def _learn(self, units: list[str]) -> None:
-        found = self._tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.int64, count=int(sizes.sum()))
-        low, n = len(self._code), len(self._code) + len(units)
-        if len(flat) and flat.max() >= FIRST_RULE:
+        # open addressing: a unit's hash, and its number, in the first free slot from the hash on
+        self._hash, self._number = np.zeros(_SLOTS, dtype=np.uint64), np.zeros(_SLOTS, dtype=np.int32)
+        self._at, self._size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self._ids = np.zeros(0, dtype=np.uint16)
+
+    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
+        parts, sizes = [], []
+        for low in range(0, len(units), LEARN_UNITS):
+            found = [e.ids for e in self._tokenizer.encode_batch_fast(units[low : low + LEARN_UNITS], add_special_tokens=False)]
+            sizes += map(len, found)
+            parts.append(np.array([i for x in found for i in x], dtype=np.int64))
+        ids, size = np.concatenate(parts), np.array(sizes, dtype=np.int64)
+        if len(ids) and ids.max() >= FIRST_RULE:
             raise ValueError(f"ids must be below {FIRST_RULE}")
-        self._ids = self._room(self._ids, self._used + len(flat))
-        self._at, self._size = self._room(self._at, n), self._room(self._size, n)
-        self._ids[self._used : self._used + len(flat)] = flat
-        self._at[low:n] = self._used + np.cumsum(sizes) - sizes
-        self._size[low:n] = sizes
-        self._used += len(flat)
-        self._code.update(zip(units, range(low, n), strict=True))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
-        if len(self._code) > CACHE_UNITS:
+        number = len(self._at) + np.arange(len(size))
+        self._at = np.concatenate((self._at, len(self._ids) + np.cumsum(size) - size))
+        self._size, self._ids = np.concatenate((self._size, size)), np.concatenate((self._ids, ids.astype(np.uint16)))
+        slot = (hashes % _SLOTS).astype(np.int64)
+        while len(hashes):
+            first = np.unique(slot, return_index=True)[1]
+            first = first[self._hash[slot[first]] == 0]
+            self._hash[slot[first]], self._number[slot[first]] = hashes[first], number[first]
+            rest = np.ones(len(hashes), dtype=bool)
+            rest[first] = False
+            hashes, number, slot = hashes[rest], number[rest], (slot[rest] + 1) % _SLOTS
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of units by hash; -1 if unknown."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        at, slot = np.arange(len(hashes)), (hashes % _SLOTS).astype(np.int64)
+        while len(at):
+            held = self._hash[slot]
+            hit = held == hashes[at]
+            out[at[hit]] = self._number[slot[hit]]
+            on = np.flatnonzero(~hit & (held != 0))
+            at, slot = at[on], (slot[on] + 1) % _SLOTS
+        return out
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each), from UTF-8 bytes and the texts' offsets."""
+        if len(self._at) > CACHE_UNITS:
             self._clear()
-        units: list[str] = []
-        ends = []
-        for text in texts:
-            if self._odd.search(text) is None:
-                parts = text.split(" ")
-                units.append(parts[0])
-                units += [" " + p for p in parts[1:]]
-            else:
-                units += self._split.split(text)
-            ends.append(len(units))
-        known = self._code
-        new = list(dict.fromkeys(u for u in units if u not in known))
-        if new:
-            self._learn(new)
-        codes = np.fromiter(map(known.__getitem__, units), dtype=np.int64, count=len(units))
-        sizes = self._size[codes]
+        cut = np.zeros(len(data), dtype=bool)
+        begins = offsets[:-1][offsets[:-1] < len(data)]
+        if len(data):
+            before, after = data[:-1], data[1:]
+            cut[:-1] = (before == 32) & _VISIBLE[after]
+            cut[begins[1:] - 1] = False  # the next text is not what follows
+            letter = _LETTER[before]
+            letter[1:] |= (data[:-2] == 0xC3) & _ACCENTED[before[1:]]
+            cut[1:] |= letter & _CLOSING[after]
+            cut[2:] |= _SOLID[data[:-2]] & (data[1:-1] == 10) & _LETTER[data[2:]]
+            cut[begins] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(data))
+        hashes = np.maximum(span_hash(data, start, end), np.uint64(1))
+        number = self._find(hashes)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            fresh, first = np.unique(hashes[new], return_index=True)
+            raw = data.tobytes()
+            self._learn(fresh, [raw[a:b].decode() for a, b in zip(start[new[first]].tolist(), end[new[first]].tolist(), strict=True)])
+            number[new] = self._find(hashes[new])
+        sizes = self._size[number]
         total = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self._ids[np.repeat(self._at[codes] - total[:-1], sizes) + np.arange(total[-1])]
-        ends_at = total[np.array([0, *ends])]
-        return ids, np.diff(ends_at)
+        ids = self._ids[np.repeat(self._at[number] - total[:-1], sizes) + np.arange(total[-1])]
+        return ids, np.diff(total[np.searchsorted(start, offsets)])
+
+
+def _bytes(*runs: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    for low, high in runs:
+        out[low : high + 1] = True
+    return out
+
+
+#: First bytes of visible characters up to U+03FF; visible ASCII; ASCII letters; second
+#: bytes of the letters of Latin-1.
+_VISIBLE, _SOLID, _LETTER = _bytes((0x21, 0x7E), (0xC3, 0xCF)), _bytes((0x21, 0x7E)), _bytes((65, 90), (97, 122))
+_ACCENTED = _bytes((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))
+#: Line feeds and ASCII punctuation, but for apostrophes, and what stands after a letter in special tokens.
+_CLOSING = _bytes((10, 10), *((ord(c), ord(c)) for c in "!\"#$%&()*+,-./:;<=?@[\\]^_`{}~"))
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This process's encoder, kept from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def re_pair(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,15 +220,12 @@ class Grammar:
         self._size = lengths
         self._at = np.cumsum(lengths) - lengths
         self._ids = np.zeros(int(lengths.sum()), dtype=np.uint32)
-        for k, (pair, at) in enumerate(zip(rules, self._at, strict=True)):
-            for s in pair:  # rules only refer to earlier ones
-                if s < FIRST_RULE:
-                    self._ids[at] = s
-                    at += 1
-                else:
-                    n, b = lengths[s - FIRST_RULE], self._at[s - FIRST_RULE]
-                    self._ids[at : at + n] = self._ids[b : b + n]
-                    at += n
+        low = 0
+        while low < len(rules):  # rules only refer to earlier ones: expand runs that need none of their own
+            inner = np.flatnonzero((rules[low:] >= FIRST_RULE + low).any(axis=1))
+            high = low + (int(inner[0]) if len(inner) else len(rules) - low)
+            self._ids[self._at[low] : self._at[high - 1] + lengths[high - 1]] = self.decode(rules[low:high].ravel())
+            low = high
 
     def sizes(self, codes: np.ndarray) -> np.ndarray:
         out = np.ones(len(codes), dtype=np.int64)
@@ -250,17 +288,16 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     tokenizer = tokenizer or default_tokenizer()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         part = TaskContext.get().partitionId()
         shard, ids, parts, counts, held = 0, [], [], [], 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                rows = batch.slice(low, 256)
-                flat, sizes = encoder.encode([t or "" for t in rows.column("text").to_pylist()])
+            for low, high, data, offsets in chunks(batch.column("text")):
+                flat, sizes = encoder.encode(data, offsets)
                 end = np.cumsum(sizes)
                 whole = np.insert(flat, end, end_id)  # one end id after each document
                 begin = 0
-                for doc, n in zip(rows.column("doc_id").to_pylist(), (sizes + 1).tolist(), strict=True):
+                for doc, n in zip(batch.column("doc_id").slice(low, high - low).to_pylist(), (sizes + 1).tolist(), strict=True):
                     ids.append(doc)
                     counts.append(n)
                     held += n
