@@ -33,7 +33,7 @@ _BLOCK = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:[\s/][^>]*)?>"
 
 
 def text_lines(html: Column) -> Column:
-    """The non-empty text lines of a page; white space inside a line becomes one space."""
+    """The non-empty text lines of a page: block tags and line feeds end lines, other white space becomes one space."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, " ")
     text = F.regexp_replace(F.regexp_replace(text, _BLOCK, "\n"), "<[^>]*>", "")
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")

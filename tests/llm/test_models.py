@@ -46,7 +46,7 @@ def test_trees_learn_and_match_plain_traversal():
 def test_trees_of_one_class_or_none():
     width = len(quality_model.STATISTICS)
     assert quality_model.fit(np.zeros((0, width)), np.zeros(0)).score(np.zeros((2, width))).tolist() == [0.5, 0.5]
-    assert (quality_model.fit(np.ones((8, width)), np.ones(8)).score(np.zeros((1, width))) == 0.9).all()
+    assert quality_model.fit(np.ones((8, width)), np.ones(8)).score(np.zeros((1, width))) == pytest.approx([0.9])
 
 
 @needs_tables
@@ -129,7 +129,7 @@ def test_pages(spark, chain):
 
 def test_blocks_of_broken_markup():
     texts = lambda html: [t for t, _ in page_text.blocks(html)]
-    assert texts("a < b <p>c<p>d</div></p>e<br>f<!-- g --><style>h</style>i <b>j</b>k &lt;l&gt;") == ["a < b", "c", "d", "e f i jk <l>"] or texts("a < b <p>c") == ["a < b", "c"]
+    assert texts("a < b <p>c<p>d</div></p>e<br>f<!-- g --><style>h</style>i <b>j</b>k &lt;l&gt;") == ["a < b", "c", "d", "e fi jk <l>"]
     assert texts("<p title='a>b'>x</p><p class=\"y") == ["x"]
     assert texts("<!-- never closed") == [] and texts("<script>never closed") == [] and texts("") == []
 

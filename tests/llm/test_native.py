@@ -22,7 +22,7 @@ def _pages(spark, rows):
 
 def test_site_lines(spark):
     menu = "<nav><a href='/'>Home</a></nav>"
-    rows = [(f"https://A.example/{k}", f"{menu}<p>Text  {k}\n more</p><script>Home</script><p>Text {k} more</p>") for k in range(12)]
+    rows = [(f"https://A.example/{k}", f"{menu}<p>Text  {k}\t more</p><script>Home</script><p>Text {k} more</p>") for k in range(12)]
     rows += [("https://b.example/", f"{menu}<p>other</p>")] * 9 + [(None, "<p>Home</p>"), ("https://a.example/x", None), ("https://a.example/y", ""), ("no url", "Home")]
     got = {r.page_id: r for r in line_dup.drop_site_lines(_pages(spark, rows)).collect()}
     assert len(got) == len(rows)

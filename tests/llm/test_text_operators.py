@@ -49,10 +49,11 @@ def test_counts_match_brute_force(spark):
 
 
 def test_line_verdicts(spark):
-    prose = "\n".join(f"This is sentence number {k} of a quite ordinary text about nothing much at all." for k in range(8))
+    told = lambda name: "\n".join(" ".join(f"{name}{k}x{j}" for j in range(12)) + "." for k in range(8))
+    prose = told("word")
     texts = {
-        1: prose, 2: prose + "\nHome\nAbout us\nRead more » | | |", 3: "\n".join(f"Home | About | Item {k} | »" for k in range(40)),
-        4: prose + "\nAccept cookies to go on.\n" + prose.replace("sentence", "remark"), 5: "\n".join(f"$$$ win {k} ### now !!! ***" for k in range(30)),
+        1: prose, 2: prose + "\nHome\nAbout us\nRead more » | | |", 3: "\n".join(f"Home{k} | About{k} | Item{k} | »" for k in range(40)),
+        4: prose + "\nAccept cookies to go on.\n" + told("remark"), 5: "\n".join(f"$$$ win{k} ###{k} now{k} !!! ***" for k in range(30)),
     }
     got = {r.doc_id: r for r in quality_rules.line_rules(_docs(spark, list(texts.items()))).collect()}
     assert {d: r.kept for d, r in got.items()} == {1: True, 2: True, 3: False, 4: True, 5: False}
