@@ -30,14 +30,18 @@ def fixed_number(text: Column, scale: int = 0, signed: str | None = None) -> Col
 
     A sign may lead, and trail unless ``signed`` says leading or none; then digits with
     at most one point or comma. Without a point the scale divides. The expression stays
-    flat, so plans do not grow with it.
+    flat, so plans do not grow with it. Plain whole numbers skip the patterns.
     """
     s = F.btrim(text, F.lit(BLANKS))
     trail = "[+-]?" if signed in (None, "trailing") else ""
     valid = s.rlike(rf"\A[+-]?(?=[0-9.,]*[0-9])[0-9]*[.,]?[0-9]*{trail}\z")
     digits = F.replace(F.regexp_replace(s, "[+-]", ""), F.lit(","), F.lit(".")).try_cast("double")
     value = F.when(s.rlike("[.,]"), digits).otherwise(digits / F.lit(float(10**scale))) if scale else digits
-    return F.when(valid, F.when(F.contains(s, F.lit("-")), -value).otherwise(value))
+    number = F.when(valid, F.when(F.contains(s, F.lit("-")), -value).otherwise(value))
+    # no blanks or controls at the ends that a cast would take off, and no fraction
+    plain = F.substring(s, -1, 1).between("0", "9") & F.substring(s, 1, 1).between("+", "9") & ~F.contains(s, F.lit(".")) & s.try_cast("bigint").isNotNull()
+    whole = s.try_cast("bigint").cast("double")
+    return F.when(plain, whole / F.lit(float(10**scale)) if scale else whole).otherwise(number)
 
 
 def field_number(text: Column) -> Column:
@@ -63,11 +67,14 @@ class Cells:
         """The whole record as text."""
         return decode(self._payload, self.profile.encoding)
 
+    def _slice(self, c: ColumnDef) -> Column:
+        return F.substring(self._payload, c.start + 1, c.length)
+
     def _field(self, k: int, c: ColumnDef) -> Column:
         """Untrimmed text; fields that a record lacks are empty."""
         p = self.profile
         if p.mode == "fixed":
-            return decode(F.substring(self._payload, c.start + 1, c.length), p.encoding)
+            return decode(self._slice(c), p.encoding)
         if p.mode == "split":
             return F.coalesce(F.get(F.split(self.raw(), java_regex(p.pattern), -1), F.lit(k)), F.lit(""))
         return F.regexp_extract(self.raw(), java_regex(p.pattern), k + 1)
@@ -89,7 +96,21 @@ class Cells:
         k, c = self.profile.column(name)
         if self.profile.mode != "fixed":
             return field_number(self._field(k, c))
-        return fixed_number(self._field(k, c), c.scale, c.signed) if as_declared else fixed_number(self._field(k, c))
+        # numbers are ASCII, so single-byte encodings need no decoding
+        text = self._field(k, c) if self.profile.encoding == "utf8" else self._slice(c).cast("string")
+        return fixed_number(text, c.scale, c.signed) if as_declared else fixed_number(text)
+
+    def same_text(self, name: str, text: str) -> Column:
+        """Whether the shown text is this one; single-byte encodings compare bytes."""
+        _, c = self.profile.column(name)
+        if self.profile.mode != "fixed" or self.profile.encoding == "utf8":
+            return self.text(name) == F.lit(text)
+        try:
+            wanted = F.lit(text.encode("latin-1"))
+        except UnicodeEncodeError:
+            return F.lit(False)
+        how = c.trim or "none"
+        return (self._slice(c) if how == "none" else _TRIM[how](self._slice(c), F.lit(BLANKS.encode()))) == wanted
 
     def blank(self, name: str) -> Column:
         k, c = self.profile.column(name)

@@ -106,6 +106,9 @@ class Field:
                 if math.isnan(number):
                     raise QueryError(f"{self.name} is numeric and {value!r} is no number")
                 return F.coalesce(_OPERATORS[op](self._number(cells), F.lit(number)), F.lit(False))
+            if op in ("=", "<>"):
+                same = cells.same_text(self.name, js_string(value))
+                return same if op == "=" else ~same
             return _OPERATORS[op](cells.text(self.name), F.lit(js_string(value)))
 
         return Predicate(build, 1 if op == "=" else 2, f"{self._sql} {op} {_quoted(value)}")

@@ -19,6 +19,7 @@ def _each(spark, values, expression):
     "signed, cases",
     [
         (None, {"00012345": 123.45, "0001234-": -12.34, "123.45": 123.45, "-5-": -0.05, "+7": 0.07, "5.": 5.0, ".5": 0.5, "000000000,123": 0.123}),
+        (None, {"-00120": -1.2, "12345678901234567890": 12345678901234567890.0 / 100, "5\x01": None, "\r5": None, "1 2": None, "5d": None, "٣": None, "--5": None}),
         (None, {"  12 ": 0.12, "\t7\0": 0.07, "0000-": 0.0, "9999999999999": 99999999999.99}),
         (None, dict.fromkeys(["", "   ", "12A45", "00000000000 -", "00000000001E5", ".............", "-", "1,234.5", "1.2.3"])),
         ("trailing", {"0001234-": -12.34, "-1234": -12.34}),
