@@ -4,7 +4,8 @@ All DataFrame functions. A rule is a host and a path prefix with a verdict; it f
 host and all subdomains when the url's path starts with its path, and the longest rule
 wins. Pages that redirect (an http-equiv refresh) or name a canonical link are aliases
 of the target: components over these edges carry a block to members without a rule of
-their own, unless a member is allowed explicitly.
+their own, unless a member is allowed explicitly. Links are resolved against the page's url
+and its base element, as a browser does.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ _CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 _TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
+_BASE = r"""(?is)<base\b[^>]*\bhref\b[^>]*>"""
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+_REST = r"(?s)^.*?://[^/?#]*([^#]*)"
+_UP = ("..", ".%2e", "%2e.", "%2e%2e")
 
 
 def host(url: Column) -> Column:
@@ -47,19 +52,57 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return found
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path with its . and .. segments resolved."""
+    closed = F.regexp_replace(path, r"(?i)/((?:\.|%2e){1,2})\z", "/$1/")
+    segments = F.split(F.substring(closed, 2, F.length(closed)), "/")
+    kept = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(F.lower(x).isin(*_UP), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(F.lower(x).isin(".", "%2e"), done)
+        .otherwise(F.concat(done, F.array(x))),
+    )
+    return F.when(path.rlike(r"(?i)/(?:\.|%2e)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def alias_key(url: Column) -> Column:
-    """What names a page apart from scheme and fragment."""
-    return F.concat(host(url), F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^#]*)", 1))
+    """What names a page apart from scheme and fragment, a missing path being /; null without a host."""
+    query = F.regexp_extract(F.regexp_extract(F.coalesce(url, F.lit("")), _REST, 1), r"(?s)^[^?]*(.*)", 1)
+    named = F.when(path(url) == "", F.lit("/")).otherwise(without_dots(path(url)))
+    return F.when(host(url) != "", F.concat(host(url), named, query))
+
+
+def resolve(base: Column, link: Column) -> Column:
+    """The absolute url of a link on a page; null where either leads to no host."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    site = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    folder = F.concat(site, F.coalesce(F.nullif(F.regexp_extract(path(base), r"(?s)^.*/", 0), F.lit("")), F.lit("/")))
+    found = (
+        F.when(link.rlike(_SCHEME), F.when(F.contains(F.regexp_extract(link, _SCHEME + "//", 0), F.lit("://")), link))
+        .when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(site, link))
+        .when(F.startswith(link, F.lit("?")), F.concat(site, path(base), link))
+        .when((link == "") | F.startswith(link, F.lit("#")), base)
+        .otherwise(F.concat(folder, link))
+    )
+    return F.when((host(base) != "") & (host(found) != ""), found)
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) keys of pages and of absolute urls that they redirect to or name canonical."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    told = pages.select("url", html.alias("html")).where(F.col("html").rlike("(?i)canonical|refresh"))
-    link = F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1)
-    target = F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _TARGET, 1)
-    edges = told.select("url", F.explode(F.array(link, target)).alias("to")).where("contains(to, '://')")
-    return edges.select(alias_key(F.col("url")).alias("src"), alias_key(F.regexp_replace("to", "&amp;", "&")).alias("dst"))
+    """(src, dst) keys of pages and of the urls that they redirect to or name canonical.
+
+    Pages without a host, and links that lead to none (mailto: and the like), have no edges.
+    """
+    plain = lambda found: F.regexp_replace(found, "&amp;", "&")
+    told = pages.select("url", F.coalesce(F.col("html"), F.lit("")).alias("html")).where(F.col("html").rlike("(?i)canonical|refresh"))
+    link = plain(F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1))
+    target = plain(F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _TARGET, 1))
+    based = plain(F.regexp_extract(F.regexp_extract("html", _BASE, 0), _HREF, 1))
+    told = told.where(host(F.col("url")) != "").select("url", based.alias("based"), F.explode(F.array(link, target)).alias("to")).where("to <> ''")
+    told = told.withColumn("base", F.coalesce(resolve(F.col("url"), F.col("based")), F.col("url")))
+    edges = told.select(alias_key(F.col("url")).alias("src"), alias_key(resolve(F.col("base"), F.col("to"))).alias("dst"))
+    return edges.where("src is not null and dst is not null")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:

@@ -108,6 +108,35 @@ def test_blocks_spread_over_aliases(spark):
     assert got[0][2] is None and got[7][2] == "net/"
 
 
+def test_blocks_spread_over_relative_links(spark):
+    canonical = '<link rel="canonical" href="{}">'
+    refresh = '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [
+        ("https://a.example/x/1?q", refresh.format("//bad.net/a")),  # 0: the page's scheme
+        ("http://a.example/x/2", canonical.format("/x/1?q")),  # 1: the page's host, through 0
+        ("http://a.example/x/3", refresh.format("2")),  # 2: the page's folder, through 1
+        ("http://a.example/y/z/4", canonical.format("../.././x/./3")),  # 3
+        ("http://a.example/x/1", refresh.format("?q#part")),  # 4: another query of the page
+        ("http://b.example", refresh.format("http://bad.net")),  # 5: no path is /
+        ("http://b.example/5", canonical.format("/.")),  # 6
+        ("http://c.example/1", '<base href="http://a.example/x/">' + refresh.format("2")),  # 7
+        ("http://d.example/1", refresh.format("/go?to=http://bad.net/a")),  # 8: a link in a query is none
+        ("http://e.example/1", refresh.format("mailto:x://bad.net/a")),  # 9: no host
+        ("http://f.example/de/1", canonical.format("2")),  # 10: 2 is no row
+        ("http://example.com/x/1", canonical.format("../de/2")),  # 11: a rule fits where the dots lead
+        ("http://example.com/y", refresh.format("/de")),  # 12: and here none
+    ]
+    got = _verdicts(spark, rows)
+    assert [got[k][3] for k in range(13)] == ["block"] * 8 + ["allow"] * 3 + ["block", "allow"]
+
+
+def test_pages_without_a_host_share_no_alias(spark):
+    refresh = '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [(None, refresh.format("http://bad.net/a")), ("no url", refresh.format("http://good.example/")), ("http://good.example/", None), (None, refresh.format("/a")), ("", None)]
+    got = _verdicts(spark, rows)
+    assert [got[k][3] for k in range(5)] == ["allow"] * 5
+
+
 # ---- decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
