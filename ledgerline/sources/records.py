@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,26 +31,31 @@ def without_cr(value: Column) -> Column:
 
 
 def number_rows(df: DataFrame) -> DataFrame:
-    """``df`` with ``_row``, counting from 0 in partition order.
+    """``df`` with ``_row`` for its ``_given``, ``_file`` and ``_start``, counting from 0 in their order.
 
-    One pass counts the rows of each partition; the second adds those before. Apply it
-    right on a scan: both passes must see the same partitions.
+    Spark packs blocks of files into partitions longest first, so rows are counted by
+    block: one pass counts each block's rows, the second adds those before. Apply it
+    right on a scan: both passes must see the same blocks in the same partitions.
     """
-    part = F.spark_partition_id()
-    counts = {r[0]: r[1] for r in df.groupBy(part.alias("part")).agg(F.count("*")).collect()}
+    block, at = ["_given", "_file", "_start"], F.monotonically_increasing_id()
+    counts = df.select(*block, at.alias("_at")).groupBy(*block).agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect()
     before, bases = 0, []
-    for k in range(max(counts, default=-1) + 1):
-        bases.append(before)
-        before += counts.get(k, 0)
-    base = F.element_at(F.array(*(F.lit(b) for b in bases or [0])), part + 1)
-    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return df.withColumn("_row", (base + within).cast("long"))
+    for r in sorted(counts, key=lambda r: (r["_given"], r["_file"].encode(), r["_start"])):
+        bases.append((r["_given"], r["_file"], r["_start"], before - r["first"]))
+        before += r["n"]
+    base = df.sparkSession.createDataFrame(bases, "_given int, _file string, _start long, _base long")
+    numbered = df.withColumn("_at", at).join(F.broadcast(base), block)
+    return numbered.withColumn("_row", F.col("_base") + F.col("_at")).drop(*block, "_base", "_at")
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """LF-separated records with one trailing CR taken off; blank lines are records."""
-    text = spark.read.option("lineSep", "\n").text(path)
-    numbered = number_rows(text.select(F.col("value").cast("binary").alias("value")))
+    """LF-separated records with one trailing CR taken off; blank lines are records.
+
+    Rows are numbered by the order of the given paths, then by file path and place in it.
+    """
+    source = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.col("value").cast("binary").alias("value")]
+    scans = (spark.read.option("lineSep", "\n").text(p).select(F.lit(k).alias("_given"), *source) for k, p in enumerate([path] if isinstance(path, str) else path))
+    numbered = number_rows(reduce(DataFrame.unionByName, scans))
     return numbered.select("_row", without_cr(F.col("value")).alias("value"))
 
 

@@ -12,7 +12,7 @@ from ledgerline.operators.filters import ColumnFilter, combined, filters_to_sql
 from ledgerline.operators.frame import FlatFrame, concat_records, file_stamps
 from ledgerline.operators.predicates import field
 from ledgerline.profile import ColumnDef, Profile, columns_from_widths, infer_columns, widths_from_cuts
-from ledgerline.sources.records import line_ending
+from ledgerline.sources.records import line_ending, read_records
 from ledgerline.streaming.follow import follow
 
 from tests import oracle
@@ -85,6 +85,28 @@ def test_row_numbers_over_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_row_numbers_follow_the_paths_of_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lengths, first = (10, 3_000, 0, 1, 9_000, 20_000), 0
+    for k, n in enumerate(lengths):  # later files are longer; the last are read in several splits
+        _file(folder / f"part-{k}.txt", b"".join(b"%08d\n" % (first + j) for j in range(n)))
+        first += n
+    layout = Profile.fixed(ColumnDef("N", 0, 8), skip_records=5)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+    try:
+        frame = FlatFrame.open(spark, str(folder), layout)
+        got = frame.numbered.select("_row", F.col("N").cast("long").alias("n")).collect()
+        assert sorted(r._row for r in got) == list(range(first)) and all(r._row == r.n for r in got)
+        assert [r.N for r in frame.limit(3).df.collect()] == ["00000005", "00000006", "00000007"]
+        assert [r.N for r in frame.rows(9, 3).numbered.orderBy("_row").collect()] == ["00000009", "00000010", "00000011"]
+        assert frame.where(field("N") < 20).count() == 15
+        given = read_records(spark, [str(folder / f"part-{k}.txt") for k in (3, 0, 3)], layout)
+        assert [r.value.decode() for r in given.orderBy("_row").collect()] == ["00003010", *(f"{j:08d}" for j in range(10)), "00003010"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_fixed_length_records(spark, tmp_path):
     profile = Profile.fixed(ColumnDef("N", 0, 4, "number"), line_ending="none", record_length=8)
     path = _file(tmp_path / "f.dat", b"\xef\xbb\xbf" + b"".join(b"%04dabcd" % k for k in range(1000)) + b"0000abc")
