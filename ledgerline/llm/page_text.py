@@ -28,14 +28,18 @@ SEED = 11
 
 _BLOCKS = frozenset(BLOCK_TAGS) - {"br", "body", "html"} | {"button", "iframe", "label", "nav", "textarea", "caption", "thead", "tbody", "center", "summary", "details"}
 _VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
-#: Elements whose content is never text of the page.
-_SILENT = ("script", "style", "noscript", "template", "svg", "title", "textarea", "select", "iframe", "object", "math", "canvas")
+#: Elements that hold no tags and whose content is never text of the page; they run to their closing tag.
+_RAW = ("script", "style", "title", "textarea", "iframe")
+#: Of these, what runs to the end of the page without a closing tag; the others hold what follows.
+_CODE = frozenset({"script", "style"})
+#: Elements whose text is judged apart; without text they do not break the block around them.
+_ISLANDS = frozenset({"noscript", "template", "select", "object", "canvas", "svg"})
 #: Tags that a new block-level element closes.
 _CLOSED_BY_BLOCK = frozenset({"p", "h1", "h2", "h3", "h4", "h5", "h6"})
 _CLOSED_BY_SELF = frozenset({"li", "dt", "dd", "td", "th", "tr", "option"})
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""")
 _ODD_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
-_CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _SILENT}
+_CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Words that mark short texts around an article.
@@ -52,15 +56,36 @@ def blocks(page: str) -> list[tuple[str, frozenset[str]]]:
     stack: list[tuple[str, frozenset[str], frozenset[str]]] = [("", frozenset(), frozenset())]
     held: list[str] = []
     linked, links = 0, 0
+    # around the open islands: (their level, and the text, linked and links that they interrupt); the first ``told`` are written
+    around: list[tuple[int, list[str], int, int]] = []
+    told = 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, told
         text = " ".join(entities.unescape("".join(held)).split()) if held else ""
         if text:
+            for k in range(told, len(around)):
+                level, parts, n, open_links = around[k]
+                before = " ".join(entities.unescape("".join(parts)).split())
+                if before:
+                    found.append((before, _features(before, n, stack[level - 1])))
+                around[k] = level, [], 0, open_links
+            told = len(around)
             found.append((text, _features(text, linked, stack[-1])))
         held.clear()
         linked = 0
 
+    def leave(level: int) -> None:
+        """Close the islands from this level on and go on with what is around them."""
+        nonlocal linked, links, told
+        while around and around[-1][0] >= level:
+            flush()
+            island, parts, linked, links = around.pop()
+            told = min(told, len(around))
+            del stack[island:]
+            held.extend(parts)
+
     at, end = 0, len(page)
     while at < end:
         start = page.find("<", at)
@@ -85,25 +110,44 @@ def blocks(page: str) -> list[tuple[str, frozenset[str]]]:
             continue
         at = m.end()
         closes, tag = m.group(1), m.group(2).lower()
-        if tag in _CLOSING and not closes:
+        empty = m.group(3).endswith("/")
+        if tag in _CLOSING and not closes and tag not in unclosed:
+            if empty and any(t == "svg" for t, _, _ in stack):
+                continue
             stop = _CLOSING[tag].search(page, at)
-            at = stop.end() if stop else end
+            if stop or tag in _CODE:
+                at = stop.end() if stop else end
+                continue
+            unclosed.add(tag)
+        if tag in _ISLANDS:
+            if closes:
+                level = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+                if level:
+                    leave(level)
+            elif not empty:
+                around.append((len(stack), held.copy(), linked, links))
+                held.clear()
+                linked = links = 0
+                stack.append(_opened(tag, m.group(3), stack[-1]))
         elif tag == "a":
             links = max(0, links - 1) if closes else links + 1
-        elif tag == "br":
+        elif tag in ("br", "annotation"):
             held.append(" ")
         elif tag in _BLOCKS:
+            level = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0) if closes else 0
+            if level:
+                leave(level)
             flush()
             links = 0
             if closes:
-                level = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
                 if level:
                     del stack[level:]
             else:
                 if stack[-1][0] in _CLOSED_BY_BLOCK or (stack[-1][0] == tag and tag in _CLOSED_BY_SELF):
                     stack.pop()
-                if tag not in _VOID and not m.group(3).endswith("/"):
+                if tag not in _VOID and not empty:
                     stack.append(_opened(tag, m.group(3), stack[-1]))
+    leave(0)
     flush()
     return found
 
@@ -225,8 +269,15 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tuple[
     prose = lambda: " ".join(sentence(4, 18) for _ in range(rng.choice([1, 1, 2, 3, 5, 8])))
     named = lambda names: rng.choice(['class="{}"', 'id="{}"', "class={}", 'class="x-{} wide"', 'id="main-{}-1"']).format(rng.choice(names.split()))
     link = lambda: f'<a href="/{word()}">{words(1, 3)}</a>'
+    # what islands and formulas hold is drawn apart, so that the rest of a page does not depend on it
+    other = random.Random(seed + 1)
+    island_words = lambda a, b: " ".join("".join(other.choices(syllables, k=other.randint(1, 4))) for _ in range(other.randint(a, b)))
     menu = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 9))) + "</ul>"
 
+    def aside_island() -> str:
+        text = island_words(2, 12).capitalize() + other.choice(["", "."])
+        return other.choice(["<noscript>{0}</noscript>", "<noscript><div>{0}</div></noscript>", "<select><option>{0}</option><option>{1}</option></select>", "<svg><text>{1}</text></svg>", "<template><p>{0}</p></template>", "<object><p>{0}</p></object>", "<canvas>{0}</canvas>"]).format(text, island_words(1, 3))
+
     def furniture(kind: str) -> str:
         some = prose() if rng.random() < 0.6 else words(2, 8)
         if kind == "menu":
@@ -278,6 +329,9 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tuple[
                 put("blockquote", prose())
             else:
                 put("p", prose() if rng.random() < 0.85 else sentence(1, 6))
+            if other.random() < 0.06:
+                gold.append(" ".join(island_words(4, 18).capitalize() + "." for _ in range(other.randint(1, 4))))
+                parts.append(other.choice(["<noscript><p>{}</p></noscript>", "<object data=x><p>{}</p></object>", "<canvas>{}</canvas>"]).format(gold[-1]))
             if rng.random() < 0.07:
                 parts.append(furniture(rng.choice(["ad", "notice", "share", "form", "side"])))
         if rng.random() < 0.15:
@@ -285,6 +339,8 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tuple[
         holder = rng.choice(holders).replace("{n}", named("content article post entry story body text main article-body post-content entry-content"))
         before = [furniture(k) for k in rng.sample(["menu", "header", "ad", "notice", "side", "form"], rng.randint(0, 4))]
         after = [furniture(k) for k in rng.sample(kinds, rng.randint(0, 5))] + ([furniture("footer")] if rng.random() < 0.8 else [])
+        before += [aside_island()] if other.random() < 0.2 else []
+        after += [aside_island()] if other.random() < 0.1 else []
         body = "\n".join([*before, holder.replace("{}", "".join(parts)), *after])
         yield f"<!DOCTYPE html><html><head><title>{words(1, 8)}</title></head><body>{body}</body></html>", "\n".join(gold)
 

@@ -134,6 +134,31 @@ def test_blocks_of_broken_markup():
     assert texts("<!-- never closed") == [] and texts("<script>never closed") == [] and texts("") == []
 
 
+def test_blocks_around_and_in_islands():
+    texts = lambda html: [t for t, _ in page_text.blocks(html)]
+    for tag in ("svg", "math", "object", "canvas", "noscript", "template", "select"):
+        assert texts(f"<p>a <{tag} width='1'/>b</p><p>c</p>") == ["a b", "c"], tag  # closes itself
+        assert texts(f"<p>a <{tag}><i></i> </{tag}>b</p><p>c</p>") == ["a b", "c"], tag  # without text
+        assert " ".join(texts(f"<div>a <{tag}>b<p>c</p></div><p>d</p>")) == "a b c d", tag  # never closed
+        if tag != "math":
+            assert texts(f"<p>a <{tag}>b</{tag}> c</p>") == ["a", "b", "c"]
+            assert f"in:{tag}" in page_text.blocks(f"<p>a <{tag}>b</{tag}> c</p>")[1][1] and f"in:{tag}" not in page_text.blocks(f"<p>a <{tag}>b</{tag}> c</p>")[2][1]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p>") == ["Let x=2 be"]
+    for tag in ("iframe", "textarea", "title"):
+        assert texts(f"<p>a</p><{tag}>b<p>c</p>") == ["a", "b", "c"]
+        assert texts(f"<p>a</p><{tag}>b<p>c</p></{tag}>d") == ["a", "d"]
+    assert texts("<p>a<svg><style/><g/></svg>b</p><p>c</p>") == ["ab", "c"]
+    assert texts("<p>a <noscript>b <svg>c</p>d") == ["a", "b", "c", "d"]
+    assert texts("<p><a href=x>a <svg></svg>b</a></p>") == ["a b"] and "link:3" in page_text.blocks("<p><a href=x>a <svg></svg>b</a></p>")[0][1]
+    assert texts("<svg>" * 3 + "a" + "</svg>b" * 3) == ["a", "b", "b", "b"]
+
+
+def test_text_in_islands_is_judged_by_the_model(chain):
+    first, second, third = ("Plain prose of an article, long enough to be told as such.", "More of it follows here, and it is as long as the first.", "And this is the last one, which ends the article.")
+    page = f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><noscript>Switch scripts on</noscript><article><h1>Title</h1><p>{first} <svg width=1 /></p><noscript><p>{second}</p></noscript><p>{third}</p></article><footer>&copy; 2020</footer></body></html>"
+    assert chain.extract(page) == f"Title\n{first}\n{second}\n{third}"
+
+
 # ---- pipeline
 
 
