@@ -40,23 +40,25 @@ def text_lines(html: Column) -> Column:
     return F.array_remove(F.split(F.btrim(text, F.lit(" \n")), "\n"), "")
 
 
-def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, line, share) of the lines above the ratio, by hash, from (host, hashes) rows."""
+def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_held: int = 1) -> DataFrame:
+    """(host, line, share) of the lines above the ratio on ``least_held`` pages or more, by hash, from (host, hashes) rows."""
     totals = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     held = pages.select("host", F.explode(F.array_distinct("hashes")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    return held.join(totals, "host").where(F.col("n") > F.col("pages") * ratio).select("host", "line", (F.col("n") / F.col("pages")).alias("share"))
+    return held.join(totals, "host").where((F.col("n") > F.col("pages") * ratio) & (F.col("n") >= least_held)).select("host", "line", (F.col("n") / F.col("pages")).alias("share"))
 
 
-def drop_site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_held: int = 1) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text) of every page row.
 
     A line that a page repeats counts once for the page and is dropped everywhere.
     Null and empty pages have no lines and an empty text. Urls without a host form one
     site, the empty host. Repeated page rows count as pages; other columns are ignored.
+    Hosts of fewer than ``least_pages`` pages keep all lines; to treat every host, pass
+    least_pages=1 and least_held=2 or more, so that a lone page is not its own boilerplate.
     """
     held = materialize(pages.select("page_id", host(F.col("url")).alias("host"), text_lines(F.col("html")).alias("lines")), "page-lines")
     held = held.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    site = boilerplate_lines(held, ratio, least_pages).groupBy("host").agg(F.collect_set("line").alias("site"))
+    site = boilerplate_lines(held, ratio, least_pages, least_held).groupBy("host").agg(F.collect_set("line").alias("site"))
     site = materialize(site, "site-lines")
     few = (site.agg(F.sum(F.size("site"))).first()[0] or 0) <= BROADCAST_LINES
     kept = F.when(F.col("site").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("site", F.xxhash64(x))))

@@ -42,6 +42,13 @@ def test_share_is_of_all_pages_and_a_tie_keeps(spark):
     assert line_dup.drop_site_lines(_pages(spark, [])).collect() == []
 
 
+def test_small_hosts_by_pages_that_hold_a_line(spark):
+    rows = [(f"http://h{n}/{k}", f"<p>menu</p><p>text {k}</p>") for n in (1, 2, 3, 9, 10) for k in range(n)]
+    for least, treated in ((2, {"h2", "h3", "h9", "h10"}), (3, {"h3", "h9", "h10"})):
+        got = line_dup.drop_site_lines(_pages(spark, rows), least_pages=1, least_held=least).collect()
+        assert len(got) == len(rows) and all(r.n_dropped == (r.host in treated) and ("menu" in r.text) == (r.host not in treated) for r in got)
+
+
 # ---- components
 
 
