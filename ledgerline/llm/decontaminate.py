@@ -55,18 +55,19 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return found.join(_small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def search_plan(found: DataFrame, counts: DataFrame) -> DataFrame:
+def search_plan(found: DataFrame, counts: DataFrame, whole: bool = True) -> DataFrame:
     """(phrase_id, phrase, size, term, offset, rank) for each phrase's two rarest places.
 
     Ties go by the term and then the offset. Phrases with a term that no document has
-    cannot occur and are left out.
+    cannot occur and are left out; unless they have to be ``whole``, they are planned
+    on the terms that do occur.
     """
     distinct = found.groupBy("phrase").agg(F.count("*").alias("items"))
     distinct = distinct.select("phrase", F.xxhash64("phrase").alias("phrase_id"), F.size("phrase").alias("size"))
-    places = distinct.select("*", F.posexplode("phrase").alias("offset", "term")).join(counts, "term", "left")
-    whole = Window.partitionBy("phrase")
-    places = places.withColumn("lowest", F.min(F.coalesce("n", F.lit(0))).over(whole)).where("lowest > 0")
-    ranked = places.withColumn("rank", F.row_number().over(whole.orderBy("n", "term", "offset")))
+    places = distinct.select("*", F.posexplode("phrase").alias("offset", "term")).join(counts, "term", "left" if whole else "inner")
+    each = Window.partitionBy("phrase")
+    places = places.withColumn("lowest", F.min(F.coalesce("n", F.lit(0))).over(each)).where("lowest > 0")
+    ranked = places.withColumn("rank", F.row_number().over(each.orderBy("n", "term", "offset")))
     return ranked.where("rank <= 2").select("phrase_id", "phrase", "size", "term", "offset", "rank")
 
 
@@ -100,11 +101,12 @@ def phrase_matches(docs: DataFrame, found: DataFrame, size: int = WINDOW_WORDS)
 def proximity_matches(docs: DataFrame, found: DataFrame, slop: int = 20, size: int = WINDOW_WORDS) -> DataFrame:
     """(doc_id, phrase, near_at, near): documents where a phrase's two rarest terms stand close.
 
+    Rarest of those that occur at all, so that a phrase changed at its rarest word is found.
     Up to ``slop`` words apart in either order; ``near`` is the closest distance of the
     pair, and ``near_at`` where its rarest term stands then.
     """
     vocabulary = found.select(F.explode("phrase").alias("term")).distinct()
-    plan = materialize(search_plan(found, term_counts(docs, materialize(vocabulary, "terms"))), "search-plan")
+    plan = materialize(search_plan(found, term_counts(docs, materialize(vocabulary, "terms")), whole=False), "search-plan")
     index = materialize(postings(docs, plan.groupBy("term").agg(F.min("rank").alias("first")), 0), "postings")
     left = index.join(plan.where("rank = 1"), "term").select("doc_id", "phrase_id", "phrase", "at", F.floor(F.col("at") / slop).alias("cell"))
     right = index.join(plan.where("rank = 2").select("term", "phrase_id"), "term").select("doc_id", "phrase_id", F.col("at").alias("other"))

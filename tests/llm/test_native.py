@@ -218,3 +218,11 @@ def test_proximity(spark):
     got = [(r.doc_id, r.near) for r in decontaminate.proximity_matches(docs, found, slop=20).collect()]
     assert got == [(1, 3)]
     assert decontaminate.proximity_matches(docs, found, slop=50).where(F.col("doc_id") == 2).first().near == 41
+
+
+def test_proximity_of_a_phrase_with_a_changed_word(spark):
+    docs = spark.createDataFrame([(1, "x quick brown wolf y", "", 0), (2, "x y", "", 0)], DOCS)
+    found = decontaminate.phrases(spark.createDataFrame([(1, "quick brown fox", ""), (2, "fox", ""), (3, "fox wolf", "")], ITEMS))
+    got = [(r.doc_id, r.phrase, r.near_at, r.near) for r in decontaminate.proximity_matches(docs, found).collect()]
+    assert got == [(1, ["quick", "brown", "fox"], 2, 1)]
+    assert decontaminate.phrase_matches(docs, found).count() == 0
