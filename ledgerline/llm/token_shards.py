@@ -36,7 +36,7 @@ END_ID = 0
 #: Symbols from here on are nonterminals; above every id of a byte-level vocabulary.
 FIRST_RULE = 1 << 16
 SHARD_TOKENS = 1 << 20
-ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 5, 2048, 12
+LEAST_COUNT = 12
 MARK_EVERY = 1024
 #: Encoded units that a worker remembers, and units handed to the tokenizer at once.
 CACHE_UNITS, LEARN_UNITS = 1_000_000, 2048
@@ -169,24 +169,20 @@ def encoder_of(path: str) -> Encoder:
 def re_pair(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, rules, expansion lengths) of a sequence of ids below FIRST_RULE.
 
-    Each round counts pairs in a hashed table, counts the promising ones exactly, gives
-    a nonterminal to the most frequent (ties by the pair itself) and replaces them.
+    Each round leaves out pairs whose slot of a hashed table shows that they are too few,
+    counts the others exactly, gives each that occurs LEAST_COUNT times a nonterminal (the
+    most frequent first, ties by the pair itself) and replaces them, until none is left.
     """
     seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, dtype=np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         slot = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA77))) >> np.uint32(32 - _TABLE_BITS)
         counts = np.bincount(slot, minlength=1 << _TABLE_BITS)
-        least = LEAST_COUNT
-        if (counts >= least).sum() > RULES_PER_ROUND:
-            least = max(least, int(np.partition(counts, -RULES_PER_ROUND)[-RULES_PER_ROUND]))
-        at = np.flatnonzero((counts >= least)[slot])
+        at = np.flatnonzero((counts >= LEAST_COUNT)[slot])
         pair = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
         found, which, n = np.unique(pair, return_inverse=True, return_counts=True)
-        best = np.lexsort((found, -n))[:RULES_PER_ROUND]
+        best = np.lexsort((found, -n))
         best = best[n[best] >= LEAST_COUNT]
         if not len(best):
             break

@@ -22,6 +22,16 @@ def _docs(spark, rows, source=None):
 ODD = [None, "", " \t\n", "word", "\n\n", "é\xa0ü", "a\x00b", "x " * 60, "\x0b\x0c", "tab\tand\r\nline", "emoji 😀 end", "no space"]
 
 
+# ---- grammars
+
+
+def test_copies_of_a_text_need_few_codes():
+    seq = np.tile(np.random.default_rng(1).integers(1, 50_000, 500), 1000).astype(np.uint16)
+    codes, rules, lengths = token_shards.re_pair(seq)
+    assert len(codes) < 2000 and lengths.max() > 500
+    assert (token_shards.Grammar(rules, lengths).decode(codes) == seq).all()
+
+
 # ---- line rules
 
 
