@@ -125,12 +125,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, offsets in chunks(batch.column("text")):
             n = high - low
-            keys = Words(data, offsets, fold=True).shingles(SHINGLE_WORDS)
-            doc = (keys >> np.uint64(52)).astype(np.int64)
+            doc, value = Words(data, offsets, fold=True).shingles(SHINGLE_WORDS)
             sizes = np.bincount(doc, minlength=n)
             full = np.flatnonzero(sizes)
             first = (np.cumsum(sizes) - sizes)[full]
-            value = mix(keys << np.uint64(12))
             sums = np.zeros((2, n), dtype=np.uint64)
             bands = np.zeros((n, BANDS), dtype=np.int64)
             sketch, n_samples = odd_sketch((value & np.uint64(0xFFFFFFFF)).astype(np.uint32), sizes)
@@ -165,10 +163,9 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sets(column: pa.Array) -> list[np.ndarray]:
         found: list[np.ndarray] = []
         for low, high, data, offsets in chunks(column):
-            keys = Words(data, offsets, fold=True).shingles(SHINGLE_WORDS)
-            ends = np.searchsorted(keys, np.arange(high - low + 1, dtype=np.uint64) << np.uint64(52))
-            keys = keys << np.uint64(12)
-            found += [keys[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            doc, value = Words(data, offsets, fold=True).shingles(SHINGLE_WORDS)
+            ends = np.searchsorted(doc, np.arange(high - low + 1))
+            found += [value[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
         return found
 
     for batch in batches:

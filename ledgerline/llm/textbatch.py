@@ -1,12 +1,15 @@
 """Words and word-window hashes of Arrow text batches, vectorised over raw UTF-8 bytes.
 
 A word is a run of bytes outside an ASCII separator set, so UTF-8 sequences never
-split. Word hashes are 64-bit polynomial hashes over a random byte table, read from
-running sums, and mixed; window hashes combine word hashes with odd multipliers.
+split. A word's hash runs through its blocks of 8 bytes in two lanes, scrambled at every
+block; words of more than 64 bytes take a BLAKE2 digest. A window's hash joins those of
+its halves, scrambled at every join. No step is linear, so equal hashes of different
+texts have to be searched for like those of any 64-bit hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,20 +17,19 @@ import pyarrow as pa
 
 #: Bytes of text handled at once: temporaries stay near the cache and are bounded.
 CHUNK_BYTES = 1 << 20
-#: Documents handled at once; also what leaves 52 hash bits beside a document number.
+#: Documents handled at once.
 CHUNK_DOCS = 4096
 
 SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[list(SPACE)] = False
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_FOLDED = _BYTE.copy()
-_BYTE_FOLDED[65:91] = _BYTE[97:123]
-_ODD = _rng.integers(1, 1 << 63, size=4096, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 3
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
+#: Low bytes of a block, by their number.
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+#: Blocks of 8 bytes that are hashed in lanes; longer spans are digested one by one.
+BLOCKS = 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,23 +42,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers and their inverses modulo 2**64, up to n."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            row = np.full(size, base & ((1 << 64) - 1), dtype=np.uint64)
-            row[0] = 1
-            _powers[k] = np.multiply.accumulate(row)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
-    """64-bit hashes of spans of ``data``, with these values of its bytes."""
-    up, down = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values[data] * up[:-1], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start])
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two things in this order, from theirs."""
+    return mix(a * np.uint64(0xD6E8FEB86659FD93) + ((b << np.uint64(25)) | (b >> np.uint64(39))))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of ``data``."""
+    size = end - start
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    one = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    two = ~one
+    at = np.flatnonzero(size <= 8 * BLOCKS)
+    left = size[at]
+    for k in range(BLOCKS):
+        block = eight[start[at] + 8 * k] & _MASK[np.minimum(left, 8)]
+        one[at] = mix(one[at] ^ block)
+        if k:
+            two[at] = mix(two[at] + block)
+        else:
+            two[at] += block
+        more = left > 8
+        if not more.any():
+            break
+        at, left = at[more], left[more] - 8
+    out = join(one, two)
+    for k in np.flatnonzero(size > 8 * BLOCKS).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
+    return out
 
 
 class Words:
@@ -83,8 +98,8 @@ class Words:
         self._hash: np.ndarray | None = None
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte spans."""
-        return span_hash(self.data, start, end, _BYTE_FOLDED if self._fold else _BYTE)
+        """64-bit hashes of byte spans, with A-Z as a-z if the words are folded."""
+        return span_hash(_FOLDED[self.data] if self._fold else self.data, start, end)
 
     @property
     def hash(self) -> np.ndarray:
@@ -98,13 +113,19 @@ class Words:
         if n <= 0:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
         at = np.flatnonzero(self.doc[:n] == self.doc[size - 1 :])
-        total = np.zeros(n, dtype=np.uint64)
-        for k in range(size):
-            total += self.hash[k : k + n] * _ODD[k]
-        return at, mix(total[at])
-
-    def shingles(self, size: int) -> np.ndarray:
-        """Distinct shingles as sorted (document number << 52 | 52 hash bits).
+        part, width = self.hash, 1  # hashes of ``width`` words from each word on
+        total, done = np.full(n, size, dtype=np.uint64), 0
+        while True:
+            if size & width:
+                total = join(total, part[done : done + n])
+                done += width
+            if 2 * width > size:
+                return at, total[at]
+            part = join(part[:-width], part[width:])
+            width *= 2
+
+    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(document numbers, hashes) of the distinct shingles, sorted by both.
 
         A document of fewer words has its whole sequence as its one shingle.
         """
@@ -112,14 +133,19 @@ class Words:
         doc = self.doc[at]
         short = np.flatnonzero((self.counts > 0) & (self.counts < size))
         if len(short):
-            sums = np.zeros(len(short), dtype=np.uint64)
+            whole = self.counts[short].astype(np.uint64)
             for k in range(size - 1):
                 has = self.counts[short] > k
-                sums[has] += self.hash[self.first[short[has]] + k] * _ODD[64 + k]
-            found = np.concatenate((found, mix(sums + self.counts[short].astype(np.uint64))))
-            doc = np.concatenate((doc, short))
-        key = np.sort((doc.astype(np.uint64) << np.uint64(52)) | (found >> np.uint64(12)))
-        return key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+                whole[has] = join(whole[has], self.hash[self.first[short[has]] + k])
+            doc, found = np.concatenate((doc, short)), np.concatenate((found, whole))
+            order = np.argsort(doc, kind="stable")
+            doc, found = doc[order], found[order]
+        ends = np.cumsum(np.bincount(doc, minlength=self.n_docs)).tolist()
+        for low, high in zip([0, *ends], ends, strict=False):
+            found[low:high].sort()
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
+        return doc[new], found[new]
 
     def text(self, k: int) -> bytes:
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()
