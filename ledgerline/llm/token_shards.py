@@ -19,6 +19,7 @@ marks                 ids before every 1,024th code, for random access
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -39,7 +40,7 @@ SHARD_TOKENS = 1 << 20
 LEAST_COUNT = 12
 MARK_EVERY = 1024
 #: Encoded units that a worker remembers, and units handed to the tokenizer at once.
-CACHE_UNITS, LEARN_UNITS = 1_000_000, 2048
+CACHE_UNITS, CACHE_BYTES, LEARN_UNITS = 1_000_000, 64 << 20, 2048
 _TABLE_BITS = 18
 _SLOTS = 1 << 22
 
@@ -57,12 +58,14 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Exact ids of whole texts by a byte-level tokenizer, with units encoded once.
+    """Exact ids of whole texts by a tokenizer, with units of text encoded once.
 
     Byte-level pre-tokens never span the place before a space that a letter or other
-    printable character follows, nor those between a letter and closing punctuation or
-    a line feed, nor around a single line feed before a letter. A text's ids are those of the units between such places; units repeat,
-    so most are already known, and are looked up by the 64-bit hashes of their bytes.
+    printable character follows, nor those between a letter and closing punctuation or a
+    line feed, nor around a single line feed before a letter. A text's ids are those of
+    the units between such places; units repeat, so most are already known. They are
+    looked up by hash and compared byte by byte. Any other pre-tokenizer has whole texts
+    as its units.
     """
 
     def __init__(self, path: str):
@@ -71,26 +74,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._cuts = _cuts_bytes(json.loads(self._tokenizer.to_str()))
         self._clear()
 
     def _clear(self) -> None:
         # open addressing: a unit's hash, and its number, in the first free slot from the hash on
         self._hash, self._number = np.zeros(_SLOTS, dtype=np.uint64), np.zeros(_SLOTS, dtype=np.int32)
-        self._at, self._size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self._ids = np.zeros(0, dtype=np.uint16)
+        # of each unit: its bytes and its ids, as places in the two stores
+        self._raw_at, self._length, self._raw = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+        self._at, self._size, self._ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint16)
 
-    def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
+    def _learn(self, units: list[bytes]) -> np.ndarray:
+        """The numbers of new units."""
         parts, sizes = [], []
         for low in range(0, len(units), LEARN_UNITS):
-            found = [e.ids for e in self._tokenizer.encode_batch_fast(units[low : low + LEARN_UNITS], add_special_tokens=False)]
+            texts = [u.decode() for u in units[low : low + LEARN_UNITS]]
+            found = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             sizes += map(len, found)
             parts.append(np.array([i for x in found for i in x], dtype=np.int64))
         ids, size = np.concatenate(parts), np.array(sizes, dtype=np.int64)
         if len(ids) and ids.max() >= FIRST_RULE:
             raise ValueError(f"ids must be below {FIRST_RULE}")
         number = len(self._at) + np.arange(len(size))
+        length = np.array([len(u) for u in units], dtype=np.int64)
+        self._raw_at = np.concatenate((self._raw_at, len(self._raw) + np.cumsum(length) - length))
+        self._length, self._raw = np.concatenate((self._length, length)), np.concatenate((self._raw, np.frombuffer(b"".join(units), dtype=np.uint8)))
         self._at = np.concatenate((self._at, len(self._ids) + np.cumsum(size) - size))
         self._size, self._ids = np.concatenate((self._size, size)), np.concatenate((self._ids, ids.astype(np.uint16)))
+        return number
+
+    def _keep(self, hashes: np.ndarray, number: np.ndarray) -> None:
+        """Make units found by these hashes."""
         slot = (hashes % _SLOTS).astype(np.int64)
         while len(hashes):
             first = np.unique(slot, return_index=True)[1]
@@ -112,13 +126,26 @@ class Encoder:
             at, slot = at[on], (slot[on] + 1) % _SLOTS
         return out
 
+    def _differ(self, data: np.ndarray, start: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which of the units that make up ``data`` are not those of their numbers."""
+        size = np.diff(np.append(start, len(data)))
+        out = self._length[number] != size
+        place = np.where(out, 0, self._raw_at[number] - start)
+        same = np.arange(len(data)) + np.repeat(place, size)
+        same[np.repeat(out, size)] = 0
+        bad = np.flatnonzero(self._raw[same] != data)
+        out[np.searchsorted(start, bad, "right") - 1] = True
+        return out
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each), from UTF-8 bytes and the texts' offsets."""
-        if len(self._at) > CACHE_UNITS:
+        if len(self._at) > CACHE_UNITS or len(self._raw) > CACHE_BYTES:
             self._clear()
+        if not len(data):
+            return self._ids[:0], np.zeros(len(offsets) - 1, dtype=np.int64)
         cut = np.zeros(len(data), dtype=bool)
         begins = offsets[:-1][offsets[:-1] < len(data)]
-        if len(data):
+        if self._cuts:
             before, after = data[:-1], data[1:]
             cut[:-1] = (before == 32) & _VISIBLE[after]
             cut[begins[1:] - 1] = False  # the next text is not what follows
@@ -126,23 +153,35 @@ class Encoder:
             letter[1:] |= (data[:-2] == 0xC3) & _ACCENTED[before[1:]]
             cut[1:] |= letter & _CLOSING[after]
             cut[2:] |= _SOLID[data[:-2]] & (data[1:-1] == 10) & _LETTER[data[2:]]
-            cut[begins] = True
+        cut[begins] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
         hashes = np.maximum(span_hash(data, start, end), np.uint64(1))
         number = self._find(hashes)
+        raw = data.tobytes()
+        bytes_of = lambda units: [raw[a:b] for a, b in zip(start[units].tolist(), end[units].tolist(), strict=True)]
         new = np.flatnonzero(number < 0)
         if len(new):
             fresh, first = np.unique(hashes[new], return_index=True)
-            raw = data.tobytes()
-            self._learn(fresh, [raw[a:b].decode() for a, b in zip(start[new[first]].tolist(), end[new[first]].tolist(), strict=True)])
+            self._keep(fresh, self._learn(bytes_of(new[first])))
             number[new] = self._find(hashes[new])
+        clash = np.flatnonzero(self._differ(data, start, number))
+        if len(clash):  # another unit has this hash: encoded each time
+            number[clash] = self._learn(bytes_of(clash))
         sizes = self._size[number]
         total = np.concatenate(([0], np.cumsum(sizes)))
         ids = self._ids[np.repeat(self._at[number] - total[:-1], sizes) + np.arange(total[-1])]
         return ids, np.diff(total[np.searchsorted(start, offsets)])
 
 
+def _cuts_bytes(tokenizer: dict) -> bool:
+    """Whether a tokenizer splits texts as the byte-level pattern does, with no step before."""
+    split = tokenizer.get("pre_tokenizer") or {}
+    plain = not tokenizer.get("normalizer") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokenizer.get("added_tokens", ()))
+    special = all(t["content"].startswith("<|") and t["content"].endswith("|>") for t in tokenizer.get("added_tokens", ()))
+    return plain and special and split.get("type") == "ByteLevel" and bool(split.get("use_regex")) and not split.get("add_prefix_space")
+
+
 def _bytes(*runs: tuple[int, int]) -> np.ndarray:
     out = np.zeros(256, dtype=bool)
     for low, high in runs:
@@ -312,13 +351,26 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
 def decode_range(shard: dict, start: int, n: int) -> np.ndarray:
     """Ids [start, start + n) of a shard row, expanding only the codes that cover them."""
     codes = codes_of(shard["low"], shard["high"])
-    grammar = Grammar(np.array(shard["rules"], dtype=np.int64).reshape(-1, 2), np.array(shard["lengths"], dtype=np.int64))
+    rules, lengths = np.array(shard["rules"], dtype=np.int64).reshape(-1, 2), np.array(shard["lengths"], dtype=np.int64)
     marks = np.array(shard["marks"], dtype=np.int64)
     first = max(int(np.searchsorted(marks, start, "right")) - 1, 0)
     last = int(np.searchsorted(marks, start + n, "left"))
-    part = grammar.decode(codes[first * MARK_EVERY : last * MARK_EVERY])
-    skip = start - (int(marks[first]) if len(marks) else 0)
-    return part[skip : skip + n]
+    part, before = codes[first * MARK_EVERY : last * MARK_EVERY].astype(np.int64), int(marks[first]) if len(marks) else 0
+    while True:  # open the rules one level at a time, and leave out what lies outside
+        rule = part >= FIRST_RULE
+        sizes = np.ones(len(part), dtype=np.int64)
+        sizes[rule] = lengths[part[rule] - FIRST_RULE]
+        ends = before + np.cumsum(sizes)
+        low, high = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, start + n, "left")) + 1
+        before = int(ends[low - 1]) if low else before
+        part, rule = part[low:high], rule[low:high]
+        if not rule.any():
+            return part[start - before : start - before + n].astype(np.uint32)
+        at = np.cumsum(np.where(rule, 2, 1)) - np.where(rule, 2, 1)
+        opened = np.zeros(len(part) + int(rule.sum()), dtype=np.int64)
+        opened[at[~rule]] = part[~rule]
+        opened[at[rule]], opened[at[rule] + 1] = rules[part[rule] - FIRST_RULE].T
+        part = opened
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
