@@ -183,6 +183,30 @@ def test_re_pair_compresses_and_expands():
             assert len(codes) < len(seq) and (rules < token_shards.FIRST_RULE + np.arange(len(rules))[:, None]).all()
 
 
+def test_units_of_one_hash_are_told_apart(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_shards, "span_hash", lambda data, start, end: np.full(len(start), 9, dtype=np.uint64))
+    texts = ["one two one", "two three", "", "three one four"]
+    ids, sizes = token_shards.Encoder(token_shards.default_tokenizer()).encode(*text_buffers(pa.array(texts)))
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert (sizes.tolist(), ids.tolist()) == ([len(x) for x in want], [i for x in want for i in x])
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = token_shards.default_tokenizer().replace("byte_bpe_50k", "word_bpe_49k")
+    texts = [t or "" for t in ODD] + ["Lower-Case, it's two  words\nand more.", "A", "B"]
+    ids, sizes = token_shards.Encoder(path).encode(*text_buffers(pa.array(texts)))
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert (sizes.tolist(), ids.tolist()) == ([len(x) for x in want], [i for x in want for i in x])
+
+
+def test_null_and_repeated_ids_keep_their_entries(spark):
+    shards = token_shards.write_shards(_docs(spark, [(2, "b"), (None, "a"), (2, "c"), (1, None)]), part_bytes=1)
+    rows = sorted(token_shards.read_documents(shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, 1, 2, 2] and [r.start for r in rows] == [0, 2, 3, 5] and sum(r.n_tokens for r in rows) == 7
+
+
 def test_no_documents_no_shards(spark):
     shards = token_shards.write_shards(_docs(spark, []))
     assert shards.count() == 0 and token_shards.read_documents(shards).collect() == []
