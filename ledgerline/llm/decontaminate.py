@@ -3,30 +3,38 @@
 All DataFrame functions. Benchmark items become phrases: each run of ten consecutive
 words, or the whole item if it is shorter.
 
-1. Term statistics: occurrences, in all documents, of every benchmark term.
-2. Each phrase is searched from its rarest term; the second rarest is its partner.
-3. The index holds the postings (term, document, position) of those terms only, each
-   with the words around it.
-4. Offset-adjusted intersection: a posting of the rarest term proposes the place where
-   the phrase would begin; the partner's posting must propose the same place; the words
-   around it decide.
+1. Documents are split into words once, as a table of 64-bit term hashes.
+2. Term statistics: occurrences, in all documents, of every benchmark term.
+3. A phrase's lists are intersected from its rarest term on. The index first holds the
+   postings (term, document, position) of the two rarest terms of every phrase: each
+   posting, less the term's offset, proposes where the phrase would begin, and both lists
+   must propose the same place. The lists of the other terms are made for the documents
+   that are left, and must propose it too.
+4. What is left is compared with the phrase, word by word.
+5. Proximity: the two rarest different terms of a phrase that occur at all stand close
+   together, in any order. It finds passages that were changed; it is a hint, no proof.
+
+Rows are told apart by two hashes of id and text, so rows of one id are judged alone and
+equal rows alike.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize, table
+from ledgerline.llm.common import materialize, small, table
 
 WINDOW_WORDS = 10
-#: Rows of a term table broadcast at most; beyond it the same join shuffles.
-BROADCAST_TERMS = 200_000
+#: Words that the two terms of a proximity match may be apart.
+SLOP = 20
 #: What separates words once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+KEY = ["key_a", "key_b"]
 
 
 def words(text: Column) -> Column:
@@ -37,11 +45,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(folded, SEPARATORS), "")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
-
-
 def phrases(benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     """(item_id, phrase array): the windows of every item that has words."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
@@ -49,110 +52,160 @@ def phrases(benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     return items.select("item_id", "w", F.explode(starts).alias("at")).select("item_id", F.slice("w", F.col("at"), size).alias("phrase")).distinct()
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): occurrences of the given terms in all documents."""
-    found = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    return found.join(_small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-
-
-def search_plan(found: DataFrame, counts: DataFrame, whole: bool = True) -> DataFrame:
-    """(phrase_id, phrase, size, term, offset, rank) for each phrase's two rarest places.
-
-    Ties go by the term and then the offset. Phrases with a term that no document has
-    cannot occur and are left out; unless they have to be ``whole``, they are planned
-    on the terms that do occur.
-    """
-    distinct = found.groupBy("phrase").agg(F.count("*").alias("items"))
-    distinct = distinct.select("phrase", F.xxhash64("phrase").alias("phrase_id"), F.size("phrase").alias("size"))
-    places = distinct.select("*", F.posexplode("phrase").alias("offset", "term")).join(counts, "term", "left" if whole else "inner")
-    each = Window.partitionBy("phrase")
-    places = places.withColumn("lowest", F.min(F.coalesce("n", F.lit(0))).over(each)).where("lowest > 0")
-    ranked = places.withColumn("rank", F.row_number().over(each.orderBy("n", "term", "offset")))
-    return ranked.where("rank <= 2").select("phrase_id", "phrase", "size", "term", "offset", "rank")
-
+def keys() -> list[Column]:
+    """What names a row: 128 bits of its id and text."""
+    return [F.xxhash64("doc_id", "text").alias("key_a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("key_b")]
 
-def postings(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
-    """(term, doc_id, at, around): where the terms stand, with ``reach`` words on either side.
 
-    ``around`` begins at word max(0, at - reach).
-    """
-    each = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("at", "term"))
-    near = F.slice("w", F.greatest(F.col("at") - reach, F.lit(0)) + 1, 2 * reach + 1)
-    return each.join(_small(terms), "term").select("term", "doc_id", "at", near.alias("around"))
-
-
-def phrase_matches(docs: DataFrame, found: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """(doc_id, start, size, phrase): every occurrence of the phrases, exactly."""
-    vocabulary = found.select(F.explode("phrase").alias("term")).distinct()
-    plan = materialize(search_plan(found, term_counts(docs, materialize(vocabulary, "terms"))), "search-plan")
-    terms = plan.groupBy("term").agg(F.min("rank").alias("first"))
-    index = materialize(postings(docs, terms, size - 1), "postings")
-    rarest = index.join(_small(plan.where("rank = 1")), "term").select(
-        "doc_id", (F.col("at") - F.col("offset")).alias("start"), "phrase_id", "phrase", "size", "at", "around"
-    )
-    partner = index.select("term", "doc_id", "at").join(_small(plan.where("rank = 2").select("term", "phrase_id", "offset")), "term")
-    partner = partner.select("doc_id", (F.col("at") - F.col("offset")).alias("start"), "phrase_id")
-    both = rarest.where("size > 1 and start >= 0").join(partner, ["doc_id", "start", "phrase_id"], "left_semi")
-    both = both.unionByName(rarest.where("size = 1").select(*both.columns))
-    begin = F.col("start") - F.greatest(F.col("at") - (size - 1), F.lit(0)) + 1
-    return both.where(F.slice("around", begin, F.col("size")) == F.col("phrase")).select("doc_id", "start", "size", "phrase")
+def tokens(docs: DataFrame) -> DataFrame:
+    """(key_a, key_b, doc_id, terms): the hashes of each row's words, in order; written once."""
+    hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    return materialize(docs.select(*keys(), "doc_id", hashed.alias("terms")), "tokens")
 
 
-def proximity_matches(docs: DataFrame, found: DataFrame, slop: int = 20, size: int = WINDOW_WORDS) -> DataFrame:
-    """(doc_id, phrase, near_at, near): documents where a phrase's two rarest terms stand close.
+def search_plan(found: DataFrame, split: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the phrases: (phrase_id, phrase, size); the lists to intersect (phrase_id, size,
+    h, offset, rank), rarest first, of phrases all of whose terms occur; and the proximity
+    pairs (phrase_id, h, h_2) of each phrase's two rarest different terms that occur.
 
-    Rarest of those that occur at all, so that a phrase changed at its rarest word is found.
-    Up to ``slop`` words apart in either order; ``near`` is the closest distance of the
-    pair, and ``near_at`` where its rarest term stands then.
+    Ties go by the term and then the offset.
     """
-    vocabulary = found.select(F.explode("phrase").alias("term")).distinct()
-    plan = materialize(search_plan(found, term_counts(docs, materialize(vocabulary, "terms")), whole=False), "search-plan")
-    index = materialize(postings(docs, plan.groupBy("term").agg(F.min("rank").alias("first")), 0), "postings")
-    left = index.join(plan.where("rank = 1"), "term").select("doc_id", "phrase_id", "phrase", "at", F.floor(F.col("at") / slop).alias("cell"))
-    right = index.join(plan.where("rank = 2").select("term", "phrase_id"), "term").select("doc_id", "phrase_id", F.col("at").alias("other"))
-    right = right.select("*", F.explode(F.array(*((F.floor(F.col("other") / slop) + d) for d in (-1, 0, 1)))).alias("cell"))
-    apart = F.abs(F.col("at") - F.col("other"))
-    return (
-        left.join(right, ["doc_id", "phrase_id", "cell"])
-        .where((apart <= slop) & (apart > 0))
-        .groupBy("doc_id", "phrase")
-        .agg(F.min_by("at", F.struct(apart, F.col("at"))).alias("near_at"), F.min(apart).alias("near"))
-    )
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """Per document: words, words inside benchmark phrases, the items they belong to.
+    distinct = found.select("phrase").distinct().select(F.monotonically_increasing_id().alias("phrase_id"), "phrase", F.size("phrase").alias("size"))
+    distinct = materialize(distinct, "distinct-phrases")
+    places = distinct.select("phrase_id", "size", F.posexplode("phrase").alias("offset", "term")).withColumn("h", F.xxhash64("term"))
+    vocabulary = materialize(places.select("h").distinct(), "terms")
+    counts = split.select(F.explode("terms").alias("h")).join(small(vocabulary), "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"))
+    places = materialize(places.join(small(materialize(counts, "term-counts")), "h", "left"), "places")
+    each = Window.partitionBy("phrase_id")
+    whole = places.withColumn("lowest", F.min(F.coalesce("n", F.lit(0))).over(each)).where("lowest > 0")
+    whole = whole.withColumn("rank", F.row_number().over(each.orderBy("n", "term", "offset"))).select("phrase_id", "size", "h", "offset", "rank")
+    close = places.where("n > 0").select("phrase_id", "h", "n", "term").distinct().withColumn("rank", F.row_number().over(each.orderBy("n", "term")))
+    close = close.groupBy("phrase_id").agg(F.max(F.when(F.col("rank") == 1, F.col("h"))).alias("h"), F.max(F.when(F.col("rank") == 2, F.col("h"))).alias("h_2"))
+    return distinct, materialize(whole, "lists"), materialize(close.where("h_2 is not null"), "proximity-pairs")
+
+
+def postings(split: DataFrame, terms: DataFrame) -> DataFrame:
+    """(h, key_a, key_b, at): where these terms stand."""
+    return split.select(*KEY, F.posexplode("terms").alias("at", "h")).join(small(terms), "h", "left_semi").select("h", *KEY, "at")
+
+
+@dataclass(frozen=True)
+class Index:
+    """The split documents, the plan of the search and the postings that it starts from."""
+
+    docs: DataFrame
+    split: DataFrame
+    phrases: DataFrame
+    lists: DataFrame
+    pairs: DataFrame
+    postings: DataFrame
+
+    @classmethod
+    def of(cls, docs: DataFrame, found: DataFrame, near: bool = True) -> Index:
+        """An index of ``docs`` for the phrases; without ``near``, none of the proximity pairs' lists."""
+        split = tokens(docs)
+        distinct, lists, pairs = search_plan(found, split)
+        terms = lists.where("rank <= 2").select("h")
+        if near:
+            terms = terms.union(pairs.select("h")).union(pairs.select("h_2"))
+        return cls(docs, split, distinct, lists, pairs, materialize(postings(split, materialize(terms.distinct(), "terms")), "postings"))
+
+    def _starts(self, rank: int) -> DataFrame:
+        """Where phrases would begin by the postings of their term of this rank."""
+        lists = small(materialize(self.lists.where(F.col("rank") == rank), "lists"))
+        placed = self.postings.join(lists, "h").select(*KEY, (F.col("at") - F.col("offset")).alias("start"), "phrase_id", "size")
+        return placed.where("start >= 0")
+
+    def matches(self) -> DataFrame:
+        """(key_a, key_b, start, size, phrase): every occurrence of the phrases, exactly."""
+        place = [*KEY, "start", "phrase_id"]
+        first = self._starts(1)
+        left = first.where("size > 1").join(self._starts(2), place, "left_semi")
+        left = materialize(left.unionByName(first.where("size = 1")).distinct(), "candidates")  # equal rows have one key
+        # the other lists, of the documents that are left
+        more = left.join(self.lists.where("rank > 2").select("phrase_id", "h", "offset"), "phrase_id")
+        more = more.select(*place, "size", "h", (F.col("start") + F.col("offset")).alias("at"))
+        held = materialize(left.select(*KEY).distinct(), "candidate-documents")
+        lists = self.split.join(small(held), KEY, "left_semi").dropDuplicates(KEY).select(*KEY, F.posexplode("terms").alias("at", "h"))
+        agree = more.join(lists, [*KEY, "at", "h"]).groupBy(*place, "size").agg(F.count("*").alias("n")).where("n = size - 2").drop("n")
+        left = materialize(left.where("size <= 2").unionByName(agree.select(*left.columns)), "agreed")
+        # word by word, so that no hash decides
+        held = materialize(left.select(*KEY).distinct(), "agreed-documents")
+        texts = self.docs.select(*keys(), "text").join(small(held), KEY, "left_semi").select(*KEY, words(F.col("text")).alias("w")).dropDuplicates(KEY)
+        told = left.join(texts, KEY).join(small(self.phrases.select("phrase_id", "phrase")), "phrase_id")
+        return told.where(F.slice("w", F.col("start") + 1, F.col("size")) == F.col("phrase")).select(*KEY, "start", "size", "phrase")
+
+    def near(self, slop: int = SLOP) -> DataFrame:
+        """(key_a, key_b, h, h_2, near_at, near): proximity pairs at most ``slop`` words apart in a document.
+
+        ``near`` is the closest distance of the pair, and ``near_at`` where its rarest term stands then.
+        """
+        pairs = small(materialize(self.pairs.select("h", "h_2").distinct(), "pairs"))
+        left = self.postings.join(pairs, "h").select(*KEY, "h", "h_2", "at", F.floor(F.col("at") / slop).alias("cell"))
+        right = self.postings.withColumnRenamed("h", "h_2").join(pairs, "h_2").select(*KEY, "h", "h_2", F.col("at").alias("other"))
+        right = right.select("*", F.explode(F.array(*((F.floor(F.col("other") / slop) + d) for d in (-1, 0, 1)))).alias("cell"))
+        apart = F.abs(F.col("at") - F.col("other"))
+        return (
+            left.join(right, [*KEY, "h", "h_2", "cell"])
+            .where(apart <= slop)
+            .groupBy(*KEY, "h", "h_2")
+            .agg(F.min_by("at", F.struct(apart, F.col("at"))).alias("near_at"), F.min(apart).alias("near"))
+        )
+
+
+def phrase_matches(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(key_a, key_b, start, size, phrase): every occurrence of the phrases in the rows, which ``keys`` names."""
+    return Index.of(docs, found, near=False).matches()
+
+
+def proximity_matches(docs: DataFrame, found: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(doc_id, phrase, near_at, near): rows where a phrase's two rarest terms stand close."""
+    index = Index.of(docs, found)
+    told = index.near(slop).join(index.pairs, ["h", "h_2"]).join(index.phrases, "phrase_id")
+    return told.join(index.split.select(*KEY, "doc_id"), KEY).select("doc_id", "phrase", "near_at", "near")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS, slop: int = SLOP) -> DataFrame:
+    """Per row: words, words inside benchmark phrases, the items they belong to, and the
+    items of which a proximity pair stands close (n_near).
 
     Null and wordless texts have no words and no hits; an item without words never
-    occurs; repeated items and phrases count once. Columns other than doc_id, item_id
-    and text are ignored. No hits: n_items 0 and the digest of the empty string.
+    occurs; repeated items and phrases count once; rows of one id are judged apart.
+    Columns other than doc_id, item_id and text are ignored. No hits: n_items 0 and the
+    digest of the empty string.
     """
     found = materialize(phrases(benchmark, size), "phrases")
-    matches = materialize(phrase_matches(docs, found, size), "matches")
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    spans = matches.groupBy("doc_id", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
+    index = Index.of(docs, found)
+    matches = materialize(index.matches(), "matches")
+    order = Window.partitionBy(*KEY).orderBy("start", "end")
+    spans = matches.groupBy(*KEY, "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
     before = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    hit = spans.withColumn("before", before).groupBy("doc_id")
+    hit = spans.withColumn("before", before).groupBy(*KEY)
     hit = hit.agg(F.sum(F.greatest(F.col("end") - F.greatest("start", "before"), F.lit(0))).cast("long").alias("hit"))
-    items = matches.select("doc_id", "phrase").distinct().join(_small(found), "phrase")
-    items = items.select("doc_id", F.col("item_id").cast("string").alias("item")).groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    hits = hit.join(items, "doc_id").select("doc_id", "hit", F.size("items").cast("long").alias("n"), F.array_join("items", ",").alias("list"))
-    sizes = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    return sizes.join(hits, "doc_id", "left").select(
+    items = matches.select(*KEY, "phrase").distinct().join(small(found), "phrase")
+    items = items.select(*KEY, F.col("item_id").cast("string").alias("item")).groupBy(*KEY).agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hits = hit.join(items, KEY).select(*KEY, "hit", F.size("items").cast("long").alias("n"), F.array_join("items", ",").alias("list"))
+    of_pair = index.pairs.join(index.phrases, "phrase_id").join(found, "phrase").select("h", "h_2", "item_id").distinct()
+    near = index.near(slop).select(*KEY, "h", "h_2").join(small(materialize(of_pair, "pair-items")), ["h", "h_2"])
+    near = near.select(*KEY, "item_id").distinct().groupBy(*KEY).agg(F.count("*").alias("near"))
+    told = materialize(hits.join(near, KEY, "full"), "told")
+    return index.split.join(small(told), KEY, "left").select(
         "doc_id",
-        "n_words",
+        F.size("terms").cast("long").alias("n_words"),
         F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("list", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         F.coalesce(F.col("hit") > 0, F.lit(False)).alias("contaminated"),
+        F.coalesce("near", F.lit(0)).cast("long").alias("n_near"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     """The documents in which no benchmark phrase occurs, all columns kept."""
     found = materialize(phrases(benchmark, size), "phrases")
-    hit = materialize(phrase_matches(docs, found, size).select("doc_id").distinct(), "hit-documents")
-    return docs.join(_small(hit), "doc_id", "left_anti")
+    hit = materialize(phrase_matches(docs.select("doc_id", "text"), found).select(*KEY).distinct(), "hit-documents")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key_a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("key_b"))
+    return rows.join(small(hit), KEY, "left_anti").select("row.*")
 
 
 def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,9 +235,23 @@ WITH items AS (
 ), found AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM matches) GROUP BY doc_id
+), counts AS (
+  SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM docs) GROUP BY term
+), ranked AS (
+  SELECT phrase, term, row_number() OVER (PARTITION BY phrase ORDER BY n, term) AS rank
+  FROM (SELECT DISTINCT phrase, unnest(string_split(phrase, ' ')) AS term FROM phrases) JOIN counts USING (term)
+), pairs AS (
+  SELECT DISTINCT item_id, a.term AS t, b.term AS u FROM ranked a JOIN ranked b USING (phrase) JOIN phrases USING (phrase) WHERE a.rank = 1 AND b.rank = 2
+), places AS (
+  SELECT doc_id, term, p FROM (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS p FROM docs) SEMI JOIN (SELECT t AS term FROM pairs UNION SELECT u FROM pairs) USING (term)
+), near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near
+  FROM (SELECT DISTINCT x.doc_id, x.term AS t, y.term AS u
+        FROM places x JOIN (SELECT DISTINCT t, u FROM pairs) d ON x.term = d.t JOIN places y ON y.doc_id = x.doc_id AND y.term = d.u AND abs(x.p - y.p) <= {SLOP})
+  JOIN pairs USING (t, u) GROUP BY doc_id
 )
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(list, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+SELECT docs.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 }

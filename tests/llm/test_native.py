@@ -1,5 +1,6 @@
 """Site lines, URL rules and decontamination against plain Python, with the odd cases."""
 
+import collections
 import hashlib
 import random
 import re
@@ -189,11 +190,45 @@ def test_contamination_matches_brute_force(spark):
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(frame, benchmark).collect()}
     want = _brute(docs, items)
     assert got == want
+    assert {r.doc_id: r.n_near for r in decontaminate.contamination(frame, benchmark).collect()} == _near(docs, items)
     kept = decontaminate.drop_contaminated(frame, benchmark)
     assert kept.columns == frame.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, x in want.items() if not x[4])
 
 
+def _near(docs, items, slop=20, size=10):
+    """{doc_id: items of which the two rarest different words of a phrase stand close}."""
+    words = lambda t: WORD.findall((t or "").translate(LOWER))
+    counts = collections.Counter(x for _, t in docs for x in words(t))
+    pairs: dict[tuple, set] = {}
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - size + 1) if w else 0):
+            rarest = sorted((counts[x], x) for x in set(w[k : k + size]) if counts[x])[:2]
+            if len(rarest) == 2:
+                pairs.setdefault((rarest[0][1], rarest[1][1]), set()).add(i)
+    out = {}
+    for d, t in docs:
+        at: dict[str, list] = {}
+        for k, x in enumerate(words(t)):
+            at.setdefault(x, []).append(k)
+        found = [ids for (a, b), ids in pairs.items() if any(abs(x - y) <= slop for x in at.get(a, ()) for y in at.get(b, ()))]
+        out[d] = len(set().union(*found))
+    return out
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    docs = [(1, "a b c d e f g h i j"), (1, "z"), (1, "a b c d e f g h i j"), (None, "x a b c d e f g h i j"), (None, None), (2, "c d e f g h i j k l")]
+    frame = spark.createDataFrame([(d, t, "w", k) for k, (d, t) in enumerate(docs)], DOCS)
+    items = spark.createDataFrame([(7, "a b c d e f g h i j", "p"), (8, "a b c d e f g h i q r s", "p")], ITEMS)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(frame, items).collect())
+    assert got == [(0, 0, 0, 0), (0, 11, 10, 1), (1, 1, 0, 0), (1, 10, 10, 1), (1, 10, 10, 1), (2, 10, 0, 0)]
+    assert sorted(r["at"] for r in decontaminate.drop_contaminated(frame, items).collect()) == [1, 4, 5]
+    clashing = frame.withColumnsRenamed({"w": "key_a", "at": "row"}).withColumn("terms", F.lit(1))
+    kept = decontaminate.drop_contaminated(clashing, items)
+    assert kept.columns == clashing.columns and kept.count() == 3
+
+
 def test_phrase_of_ten_words_must_be_whole_and_in_one_document(spark):
     phrase = "a b c d e f g h i j k"
     docs = [(1, "x a b c d e f g h i j y"), (2, "a b c d e f g h i"), (3, "a b c d e"), (4, "f g h i j k"), (5, "b c d e f g h i j k a b c d e f g h i j")]
@@ -224,5 +259,5 @@ def test_proximity_of_a_phrase_with_a_changed_word(spark):
     docs = spark.createDataFrame([(1, "x quick brown wolf y", "", 0), (2, "x y", "", 0)], DOCS)
     found = decontaminate.phrases(spark.createDataFrame([(1, "quick brown fox", ""), (2, "fox", ""), (3, "fox wolf", "")], ITEMS))
     got = [(r.doc_id, r.phrase, r.near_at, r.near) for r in decontaminate.proximity_matches(docs, found).collect()]
-    assert got == [(1, ["quick", "brown", "fox"], 2, 1)]
+    assert got == [(1, ["quick", "brown", "fox"], 2, 1)]  # "brown" comes before "quick"
     assert decontaminate.phrase_matches(docs, found).count() == 0
