@@ -47,12 +47,22 @@ def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0xD6E8FEB86659FD93) + ((b << np.uint64(25)) | (b >> np.uint64(39))))
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as a number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def heads(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes, or all of fewer, of each span."""
+    return _eights(data)[start] & _MASK[np.minimum(size, 8)]
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of spans of ``data``."""
     size = end - start
-    padded = np.zeros(len(data) + 8, dtype=np.uint8)
-    padded[: len(data)] = data
-    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    eight = _eights(data)
     one = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     two = ~one
     at = np.flatnonzero(size <= 8 * BLOCKS)

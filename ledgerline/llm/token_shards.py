@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bound_batches, materialize, table
-from ledgerline.llm.textbatch import chunks, span_hash
+from ledgerline.llm.textbatch import chunks, heads, span_hash
 
 END_ID = 0
 #: Symbols from here on are nonterminals; above every id of a byte-level vocabulary.
@@ -84,7 +84,8 @@ class Encoder:
     def _clear(self) -> None:
         # open addressing: a unit's hash, and its number, in the first free slot from the hash on
         self._hash, self._number = np.zeros(_SLOTS, dtype=np.uint64), np.zeros(_SLOTS, dtype=np.int32)
-        # of each unit: its bytes and its ids, as places in the two stores
+        # of each unit: its bytes and its ids, as places in the two stores, and its first eight bytes
+        self._head = np.zeros(0, dtype=np.uint64)
         self._raw_at, self._length, self._raw = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8)
         self._at, self._size, self._ids = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint16)
 
@@ -100,9 +101,11 @@ class Encoder:
         if len(ids) and ids.max() >= FIRST_RULE:
             raise ValueError(f"ids must be below {FIRST_RULE}")
         number = len(self._at) + np.arange(len(size))
-        length = np.array([len(u) for u in units], dtype=np.int64)
-        self._raw_at = np.concatenate((self._raw_at, len(self._raw) + np.cumsum(length) - length))
-        self._length, self._raw = np.concatenate((self._length, length)), np.concatenate((self._raw, np.frombuffer(b"".join(units), dtype=np.uint8)))
+        length, raw = np.array([len(u) for u in units], dtype=np.int64), np.frombuffer(b"".join(units), dtype=np.uint8)
+        first = np.cumsum(length) - length
+        self._head = np.concatenate((self._head, heads(raw, first, length)))
+        self._raw_at = np.concatenate((self._raw_at, len(self._raw) + first))
+        self._length, self._raw = np.concatenate((self._length, length)), np.concatenate((self._raw, raw))
         self._at = np.concatenate((self._at, len(self._ids) + np.cumsum(size) - size))
         self._size, self._ids = np.concatenate((self._size, size)), np.concatenate((self._ids, ids.astype(np.uint16)))
         return number
@@ -133,12 +136,13 @@ class Encoder:
     def _differ(self, data: np.ndarray, start: np.ndarray, number: np.ndarray) -> np.ndarray:
         """Which of the units that make up ``data`` are not those of their numbers."""
         size = np.diff(np.append(start, len(data)))
-        out = self._length[number] != size
-        place = np.where(out, 0, self._raw_at[number] - start)
-        same = np.arange(len(data)) + np.repeat(place, size)
-        same[np.repeat(out, size)] = 0
-        bad = np.flatnonzero(self._raw[same] != data)
-        out[np.searchsorted(start, bad, "right") - 1] = True
+        out = (self._length[number] != size) | (self._head[number] != heads(data, start, size))
+        long = np.flatnonzero(~out & (size > 8))
+        if len(long):
+            n = size[long]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            bad = self._raw[np.repeat(self._raw_at[number[long]], n) + step] != data[np.repeat(start[long], n) + step]
+            out[long] = np.logical_or.reduceat(bad, np.cumsum(n) - n)
         return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
