@@ -131,6 +131,38 @@ def test_mixed_documents_repeat_rows(spark):
     assert counts == {d: n for d, n in times.items() if n}
 
 
+def test_mix_cuts_finer_ranges_to_the_same_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_DOCS", 4)
+    monkeypatch.setattr(mixing, "LEVEL_BITS", 3)
+    rows = [(d, "w " * (d % 37)) for d in range(700)]
+    got = mixing.mix(_docs(spark, rows, lambda d: "abc"[d % 7 % 3])).collect()
+    assert sorted(r.doc_id for r in got) == list(range(700))
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 20 and max(r.times for r in own) - min(r.times for r in own) <= 1
+
+
+def test_mixed_rows_of_repeated_and_null_ids(spark):
+    columns = "doc_id long, text string, source string, _time int, _times int, name string, place long, row string, extra long, low long"
+    rows = [(7, "a b", "s"), (7, "c d e", "s"), (7, "a b", "s"), (None, "x y", "s"), (None, None, None), (8, "", "s")] + [(d, "w " * 40, "t") for d in range(100, 130)]
+    docs = spark.createDataFrame([(*r, k, -k, "n", 5, "r", 1, 0) for k, r in enumerate(rows)], columns)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    counts: dict[int, int] = {}
+    for r in mixed.collect():
+        assert (r.doc_id, r.text, r.source) == rows[r._time] and r._times == -r._time
+        counts[r._time] = counts.get(r._time, 0) + 1
+    times = sorted((r.doc_id is None, r.doc_id or 0, r.size, r.times) for r in mixing.mix(docs).collect() if r.times)
+    assert times == sorted((rows[k][0] is None, rows[k][0] or 0, len((rows[k][1] or "").split()), n) for k, n in counts.items())
+    assert all(n <= 3 for n in counts.values()) and {k for k in counts if k < 4} == {0, 1, 2, 3}
+
+
+def test_empty_documents_get_no_fourth_copy(spark):
+    rows = [(d, "w w" if d < 4 else "") for d in range(40)] + [(d, "w " * 500) for d in range(100, 110)]
+    got = mixing.mix(_docs(spark, rows, lambda d: "a" if d < 40 else "b")).collect()
+    assert max(r.times for r in got) == 3
+
+
 # ---- token shards
 
 
