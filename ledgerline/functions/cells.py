@@ -29,26 +29,43 @@ def fixed_number(text: Column, scale: int = 0, signed: str | None = None) -> Col
     """A fixed-width amount, null where it is none.
 
     A sign may lead, and trail unless ``signed`` says leading or none; then digits with
-    at most one point or comma. Without a point the scale divides. The expression stays
-    flat, so plans do not grow with it.
+    at most one point or comma. Without a point the scale divides. Whole numbers, and
+    numbers with a point, are read by casts; patterns judge only what those refuse.
     """
+    unit = F.lit(float(10**scale))
+    spaced = F.trim(text)
+    last = F.substring(spaced, -1, 1)
+    body = F.when(last.isin("+", "-"), F.substring(spaced, 1, F.length(spaced) - 1)).otherwise(spaced) if signed in (None, "trailing") else spaced
+    # digits and signs at both ends: nothing that a cast would trim or read otherwise
+    plain = F.ascii(spaced).between(43, 57) & F.ascii(F.substring(body, -1, 1)).between(43, 57)
+    whole = F.when(plain, body.try_cast("long")).cast("double")
+    pointed = F.when(plain & F.contains(body, F.lit(".")) & (F.lower(body) == F.upper(body)), body.try_cast("double"))
+    size = F.coalesce(F.abs(whole) / unit if scale else F.abs(whole), F.abs(pointed), _odd_number(text, scale, signed))
+    return F.when(F.contains(spaced, F.lit("-")), -size).otherwise(size)
+
+
+def _odd_number(text: Column, scale: int, signed: str | None) -> Column:
+    """The size of any amount, by patterns; flat, so that plans do not grow with it."""
     s = F.btrim(text, F.lit(BLANKS))
     trail = "[+-]?" if signed in (None, "trailing") else ""
     valid = s.rlike(rf"\A[+-]?(?=[0-9.,]*[0-9])[0-9]*[.,]?[0-9]*{trail}\z")
     digits = F.replace(F.regexp_replace(s, "[+-]", ""), F.lit(","), F.lit(".")).try_cast("double")
     value = F.when(s.rlike("[.,]"), digits).otherwise(digits / F.lit(float(10**scale))) if scale else digits
-    return F.when(valid, F.when(F.contains(s, F.lit("-")), -value).otherwise(value))
+    return F.when((s != "") & valid, value)
 
 
 def field_number(text: Column) -> Column:
     """A number of a separated field, null where it is none; a first comma is a point."""
     s = F.btrim(text, F.lit(WHITE_SPACE))
+    # digits, a point and a sign need no pattern
+    plain = F.ascii(s).between(43, 57) & F.ascii(F.substring(s, -1, 1)).between(43, 57) & ~F.contains(s, F.lit(",")) & (F.lower(s) == F.upper(s))
+    quick = F.when(plain, s.try_cast("double"))
     s = F.regexp_replace(s, r"\A([^,]*),", "$1.")
     radix = F.coalesce(
         *(F.when(s.rlike(rf"\A(?i:{p})[{d}]+\z"), F.conv(F.substring(s, 3, 1000), b, 10).cast("double")) for p, d, b in (("0x", "0-9a-fA-F", 16), ("0o", "0-7", 8), ("0b", "01", 2)))
     )
     number = F.when(s.rlike(_JS_DECIMAL), s.try_cast("double"))
-    value = F.coalesce(number, radix)
+    value = F.coalesce(quick, number, radix)
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 

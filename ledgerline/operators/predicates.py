@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerline.errors import QueryError
+from ledgerline.errors import PatternError, QueryError
 from ledgerline.functions.cells import Cells
 from ledgerline.functions.js import java_regex, js_number, js_string, like_regex
 
@@ -33,11 +33,14 @@ _OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
 
 @dataclass(frozen=True)
 class Predicate:
-    """A condition: how to build it over cells, its relative cost, and how it reads as SQL."""
+    """A condition: how to build it over cells, its relative cost, how it reads as SQL, the
+    columns that it names, and a text that every record that satisfies it must hold."""
 
     build: Callable[[Cells], Column]
     cost: int
     sql: str
+    columns: tuple[str, ...]
+    needle: Callable[[Cells], str | None] = lambda cells: None
     parts: tuple[Predicate, ...] = ()
 
     def __and__(self, other: Predicate) -> Predicate:
@@ -50,13 +53,17 @@ class Predicate:
                 first = first & p
             return first
 
-        return Predicate(build, sum(p.cost for p in parts), " AND ".join(p.bracketed() for p in parts), tuple(parts))
+        def needle(cells: Cells) -> str | None:
+            # either will do: the longest one skips most
+            return max((n for p in parts if (n := p.needle(cells))), key=len, default=None)
+
+        return Predicate(build, sum(p.cost for p in parts), " AND ".join(p.bracketed() for p in parts), _merged(parts), needle, tuple(parts))
 
     def __or__(self, other: Predicate) -> Predicate:
-        return Predicate(lambda c: self.build(c) | other.build(c), self.cost + other.cost, f"({self.sql}) OR ({other.sql})")
+        return Predicate(lambda c: self.build(c) | other.build(c), self.cost + other.cost, f"({self.sql}) OR ({other.sql})", _merged((self, other)))
 
     def __invert__(self) -> Predicate:
-        return Predicate(lambda c: ~self.build(c), self.cost + 1, f"NOT ({self.sql})")
+        return Predicate(lambda c: ~self.build(c), self.cost + 1, f"NOT ({self.sql})", self.columns)
 
     def __bool__(self) -> bool:
         raise QueryError("combine predicates with &, | and ~")
@@ -65,6 +72,10 @@ class Predicate:
         return f"({self.sql})" if " OR " in self.sql else self.sql
 
 
+def _merged(parts: Sequence[Predicate]) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(c for p in parts for c in p.columns))
+
+
 def _quoted(value: Literal) -> str:
     if value is None:
         return "NULL"
@@ -97,6 +108,9 @@ class Field:
     def _number(self, cells: Cells) -> Column:
         return cells.number(self.name, as_declared=self._numeric(cells))
 
+    def _told(self, build: Callable[[Cells], Column], cost: int, sql: str, needle: Callable[[Cells], str | None] = lambda cells: None) -> Predicate:
+        return Predicate(build, cost, f"{self._sql} {sql}", (self.name,), needle)
+
     def _compare(self, op: str, value: Literal) -> Predicate:
         value = _checked(value)
 
@@ -111,7 +125,10 @@ class Field:
                 return same if op == "=" else ~same
             return _OPERATORS[op](cells.text(self.name), F.lit(js_string(value)))
 
-        return Predicate(build, 1 if op == "=" else 2, f"{self._sql} {op} {_quoted(value)}")
+        def needle(cells: Cells) -> str | None:
+            return value if op == "=" and isinstance(value, str) and not self._numeric(cells) else None
+
+        return self._told(build, 1 if op == "=" else 2, f"{op} {_quoted(value)}", needle)
 
     def __eq__(self, value: Literal) -> Predicate:  # type: ignore[override]
         return self._compare("=", value)
@@ -135,11 +152,13 @@ class Field:
 
     def like(self, pattern: str) -> Predicate:
         """% and _ wildcards over the whole text, case-sensitive, without an escape."""
-        return Predicate(lambda c: c.text(self.name).rlike(like_regex(pattern)), 20 if pattern.rstrip("%").count("%") == 0 else 40, f"{self._sql} LIKE {_quoted(pattern)}")
+        literal = max(re.split("[%_]", pattern), key=len) or None
+        cost = 20 if pattern.rstrip("%").count("%") == 0 else 40
+        return self._told(lambda c: c.text(self.name).rlike(like_regex(pattern)), cost, f"LIKE {_quoted(pattern)}", lambda cells: literal)
 
     def ilike(self, pattern: str) -> Predicate:
         """LIKE that ignores case, beyond ASCII too."""
-        return Predicate(lambda c: c.text(self.name).rlike(like_regex(pattern, True)), 40, f"{self._sql} ILIKE {_quoted(pattern)}")
+        return self._told(lambda c: c.text(self.name).rlike(like_regex(pattern, True)), 40, f"ILIKE {_quoted(pattern)}")
 
     def matches(self, pattern: str, flags: str = "") -> Predicate:
         """A regular expression somewhere in the text; flags are of i, m, s, u."""
@@ -147,8 +166,8 @@ class Field:
             java = java_regex(pattern, flags)
             re.compile(pattern)
         except (re.error, ValueError) as why:
-            raise QueryError(f"invalid pattern /{pattern}/{flags}: {why}") from why
-        return Predicate(lambda c: c.text(self.name).rlike(java), 100, f"{self._sql} MATCHES /{pattern}/{flags}")
+            raise PatternError(f"invalid pattern /{pattern}/{flags}: {why}") from why
+        return self._told(lambda c: c.text(self.name).rlike(java), 100, f"MATCHES /{pattern}/{flags}")
 
     def isin(self, *values: Literal) -> Predicate:
         """One of the values; numeric if the column or every value is.
@@ -169,7 +188,7 @@ class Field:
                 return F.coalesce(found, F.lit(len(real) < len(numbers)))
             return cells.text(self.name).isin([js_string(v) for v in values])
 
-        return Predicate(build, 2 + len(values), f"{self._sql} IN ({', '.join(map(_quoted, values))})")
+        return self._told(build, 2 + len(values), f"IN ({', '.join(map(_quoted, values))})")
 
     def _between(self, low: Literal, high: Literal, negated: bool) -> Predicate:
         low, high = _checked(low), _checked(high)
@@ -182,7 +201,7 @@ class Field:
             inside = cells.text(self.name).between(F.lit(js_string(low)), F.lit(js_string(high)))
             return ~inside if negated else inside
 
-        return Predicate(build, 4, f"{self._sql} {'NOT ' * negated}BETWEEN {_quoted(low)} AND {_quoted(high)}")
+        return self._told(build, 4, f"{'NOT ' * negated}BETWEEN {_quoted(low)} AND {_quoted(high)}")
 
     def between(self, low: Literal, high: Literal) -> Predicate:
         """Within bounds, both included; cells that are no number are neither in nor out."""
@@ -194,17 +213,17 @@ class Field:
 
     def is_null(self) -> Predicate:
         """The cell is blank."""
-        return Predicate(lambda c: c.blank(self.name), 2, f"{self._sql} IS NULL")
+        return self._told(lambda c: c.blank(self.name), 2, "IS NULL")
 
     def is_not_null(self) -> Predicate:
-        return Predicate(lambda c: ~c.blank(self.name), 2, f"{self._sql} IS NOT NULL")
+        return self._told(lambda c: ~c.blank(self.name), 2, "IS NOT NULL")
 
     def same_text(self, how: str, value: str) -> Predicate:
         """contains, startswith or endswith of literal text, ignoring case."""
         body = "".join(c if c.isalnum() and c.isascii() else f"\\x{{{ord(c):x}}}" for c in value)
         pattern = {"contains": body, "startswith": rf"\A{body}", "endswith": rf"{body}\z"}[how]
         shown = {"contains": f"%{value}%", "startswith": f"{value}%", "endswith": f"%{value}"}[how]
-        return Predicate(lambda c: c.text(self.name).rlike(f"(?isu){pattern}"), 40, f"{self._sql} ILIKE {_quoted(shown)}")
+        return self._told(lambda c: c.text(self.name).rlike(f"(?isu){pattern}"), 40, f"ILIKE {_quoted(shown)}")
 
 
 def field(name: str) -> Field:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
@@ -142,6 +143,24 @@ class Profile:
         return cls.from_json(Path(path).read_text(encoding="utf-8"))
 
 
+#: What a data file's name is followed by in that of the profile beside it.
+BESIDE = ".layout.json"
+
+
+def beside(path: str | Sequence[str]) -> Profile | None:
+    """The profile saved beside a local file, if there is one and it can be used; a warning if it cannot."""
+    if not isinstance(path, str) or "://" in path:
+        return None
+    found = Path(path.removeprefix("file:") + BESIDE)
+    if not found.is_file():
+        return None
+    try:
+        return Profile.load(found)
+    except (ValueError, TypeError, OSError) as why:
+        warnings.warn(f"the profile {found} is ignored: {why}", stacklevel=3)
+        return None
+
+
 def columns_from_widths(widths: Sequence[int], names: Sequence[str] | None = None) -> list[ColumnDef]:
     """Adjacent columns; widths of 0 or less are skipped but keep their number in names."""
     out, start = [], 0

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import csv
-import json
-from collections.abc import Iterator
+import shutil
+import uuid
 
 from pyspark.sql import DataFrame
 
+from ledgerline.errors import ExportError
+from ledgerline.sources.records import expanded, opened
+
+CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """A folder of CSV: header, quotes only where needed and doubled inside, blanks kept."""
-    options = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.write.options(**options).csv(path)
+    df.write.options(**CSV).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -21,16 +24,25 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_file(df: DataFrame, path: str) -> int:
-    """One local file, JSON Lines by its suffix or else CSV, streamed by partition; rows written."""
-    rows: Iterator = df.toLocalIterator(prefetchPartitions=True)
-    n = 0
-    with open(path, "w", encoding="utf-8", newline="") as out:
-        if path.endswith(".jsonl"):
-            for n, row in enumerate(rows, 1):
-                out.write(json.dumps(row.asDict(), ensure_ascii=False) + "\n")
-            return n
-        writer = csv.writer(out, lineterminator="\n")
-        writer.writerow(df.columns)
-        for n, row in enumerate(rows, 1):
-            writer.writerow(row)
-    return n
+    """One file, JSON Lines by its suffix or else CSV; the bytes written.
+
+    Spark writes the parts beside it, in order; only whole files are joined here, so no
+    row passes through Python.
+    """
+    lines, parts = path.endswith(".jsonl"), f"{path}.parts-{uuid.uuid4().hex}"
+    write_jsonl(df, parts) if lines else df.write.options(**(CSV | {"header": False})).csv(parts)
+    files, folder = opened(path)
+    try:
+        with files.open_output_stream(folder) as out:
+            if not lines:
+                names = (f'"{c.replace(chr(34), chr(34) * 2)}"' if any(x in c for x in '",\n\r') else c for c in df.columns)
+                out.write((",".join(names) + "\n").encode())
+            for part in expanded(parts):
+                source, inner = opened(part)
+                with source.open_input_stream(inner) as one:
+                    shutil.copyfileobj(one, out, 1 << 20)
+            size = out.tell()
+        files.delete_dir(opened(parts)[1])
+    except OSError as why:
+        raise ExportError(f"cannot write {path}: {why}") from why
+    return size

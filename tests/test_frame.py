@@ -7,11 +7,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.errors import LayoutError, QueryError
+from ledgerline.errors import LayoutError, QueryError, SourceError, nearest
+from ledgerline.operators import frame as frame_module
 from ledgerline.operators.filters import ColumnFilter, combined, filters_to_sql
 from ledgerline.operators.frame import FlatFrame, concat_records, file_stamps
 from ledgerline.operators.predicates import field
-from ledgerline.profile import ColumnDef, Profile, columns_from_widths, infer_columns, widths_from_cuts
+from ledgerline.profile import BESIDE, ColumnDef, Profile, columns_from_widths, infer_columns, widths_from_cuts
 from ledgerline.sources.records import line_ending, read_records
 from ledgerline.streaming.follow import follow
 
@@ -321,3 +322,99 @@ def test_text_payloads_and_clashing_columns(spark):
     got = FlatFrame.from_df(df, "CODE", "id", LAYOUT).numbered.orderBy("_row").collect()
     assert (got[0]._row, got[0].CODE, got[0].STATUS) == (7, "C5-001", "OPEN")
     assert FlatFrame.from_df(df.limit(0), "CODE", "id", LAYOUT).count() == 0
+
+
+# ---- places in files, what is not read, what was asked
+
+
+def test_offsets_of_lines(spark, tmp_path):
+    data = [b"\xef\xbb\xbfone\r\n\nthree\n", b"four\r\nfive", b"", b"".join(b"%d\n" % k for k in range(5000)), b"\xef\xbb\xbflast"]
+    paths = [_file(tmp_path / f"{9 - k}.txt", d) for k, d in enumerate(data)]
+    want = []
+    for d in data:
+        at = 3 if d.startswith(b"\xef\xbb\xbf") else 0
+        lines = d[at:].split(b"\n")
+        for x in lines[: len(lines) - (not lines[-1])]:
+            want.append((at, x.removesuffix(b"\r").decode()))
+            at += len(x) + 1
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = FlatFrame.open(spark, paths, Profile.fixed(ColumnDef("A", 0, 9))).located().orderBy("_row").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r._row for r in got] == list(range(len(want)))
+    assert [(r._offset, r.A) for r in got] == want
+
+
+def test_offsets_and_paths_of_fixed_records(spark, tmp_path):
+    folder = tmp_path / "in, with [odd] names"
+    folder.mkdir()
+    _file(folder / "b.dat", b"\xef\xbb\xbfb1b2b")
+    _file(folder / "a.dat", b"a1a2")
+    _file(folder / "_skip.dat", b"xx")
+    layout = Profile.fixed(ColumnDef("A", 0, 2), line_ending="none", record_length=2)
+    for path in (str(folder), f"{folder}/*.dat", [f"{folder}/a.dat", f"{folder}/b.dat"]):
+        got = FlatFrame.open(spark, path, layout).located().orderBy("_row").collect()
+        assert [(r._row, r._offset, r.A) for r in got] == [(0, 0, "a1"), (1, 2, "a2"), (2, 3, "b1"), (3, 5, "b2")]
+    with pytest.raises(SourceError):
+        FlatFrame.open(spark, f"{folder}/*.none", layout)
+
+
+def test_a_filter_does_not_number_rows(spark, tmp_path):
+    frame = FlatFrame.open(spark, _file(tmp_path / "f.dat", b"C1\nC2\nC1\n"), Profile.fixed(ColumnDef("A", 0, 2)))
+    found = frame.where(field("A") == "C1")
+    assert found.count() == 2 and found.df.count() == 2 and found.typed(row=False).count() == 2
+    assert frame.numbering._bases is None
+    assert _rows(found) == [0, 2]
+
+
+def test_limits_beyond_a_sort_are_cut_by_counts(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, n in enumerate((10, 400, 0, 90)):
+        _file(folder / f"{k}.txt", b"".join(b"%d-%04d\n" % (k, j) for j in range(n)))
+    frame = FlatFrame.open(spark, str(folder), Profile.fixed(ColumnDef("A", 0, 6), skip_records=3))
+    odd = frame.where(field("A").matches("[13579]$"))
+    want = [r.A for r in odd.numbered.orderBy("_row").collect()]
+    assert len(want) == 249
+    monkeypatch.setattr(frame_module, "SORTED_ROWS", 0)
+    for n, offset in ((5, 0), (100, 20), (1000, 240), (0, 3), (7, 300)):
+        cut = odd.limit(n, offset)
+        assert [r.A for r in cut.numbered.orderBy("_row").collect()] == want[offset : offset + n]
+    assert [r._row for r in frame.limit(20).numbered.orderBy("_row").collect()] == list(range(3, 23))
+    assert odd.capped(249)[1] and not odd.capped(250)[1]
+
+
+def test_profiles_beside_a_file(spark, tmp_path):
+    path = _file(tmp_path / "f.dat", b"C1-1  00000012\n")
+    assert FlatFrame.open(spark, path).profile.mode == "split"
+    Profile.fixed(ColumnDef("CODE", 0, 4)).save(path + BESIDE)
+    assert FlatFrame.open(spark, path).df.collect() == [("C1-1",)]
+    Path(path + BESIDE).write_text('{"columns": [], "mode": "fixed"}')
+    with pytest.warns(UserWarning, match="ignored"):
+        assert FlatFrame.open(spark, path).df.columns == ["col1", "col2"]
+
+
+def test_prefilters_and_descriptions(spark):
+    split = Profile(tuple(ColumnDef(n) for n in ("a", "b")), mode="split", pattern=r"\s{2,}", encoding="utf8").checked()
+    frame = FlatFrame.from_df(spark.createDataFrame([(0, "PENDING  é"), (1, "OPEN  x"), (2, "x  PENDING")], "row long, record string"), "record", "row", split)
+    open_, both = field("a") == "PENDING", (field("a") == "PENDING") & (field("b") > 5)
+    assert open_.needle(frame.cells) == both.needle(frame.cells) == "PENDING"
+    assert (open_ | (field("b") == "x")).needle(frame.cells) is None and (~open_).needle(frame.cells) is None
+    assert field("b").like("%ab%cde_f").needle(frame.cells) == "cde" and (field("AMOUNT") == "5").needle(_frame(spark, []).cells) is None
+    assert ((field("a") == "x") & (field("b").like("%y%") | (field("a") > 1))).columns == ("a", "b")
+    assert _rows(frame.where(open_)) == [0] and _rows(frame.where(field("b") == "é")) == [0]
+    assert frame.where(open_).top(5, "B").describe() == 'filter · block prefilter "PENDING" · top-5 by b'
+    assert frame.top(5, "a").describe() == "full scan · top-5 by a" and frame.describe() == "full scan"
+    assert frame.where(field("a") > "A").describe() == "filter"
+
+
+@pytest.mark.parametrize("name, want", [("AMOUN", "AMOUNT"), ("AMOUNTS", "AMOUNT"), ("amuont", "AMOUNT"), ("CODA", "CODE"), ("STATE", "STATUS"), ("QQQQQQQQQ", None), ("", "CODE")])
+def test_suggestions(name, want):
+    assert nearest(name, ["CODE", "AMOUNT", "STATUS"]) == want
+
+
+def test_error_codes():
+    with pytest.raises(QueryError) as found:
+        field("A").matches("(")
+    assert found.value.code == "QUERY_SYNTAX" and QueryError.code == "QUERY_SEMANTIC" and LayoutError.code == "SCHEMA_INVALID"
