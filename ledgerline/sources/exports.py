@@ -5,7 +5,8 @@ from __future__ import annotations
 import shutil
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from ledgerline.errors import ExportError
 from ledgerline.sources.records import expanded, opened
@@ -20,16 +21,18 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """A folder of JSON Lines: one object of strings per row."""
-    df.select(*(df[c].cast("string") for c in df.columns)).write.option("ignoreNullFields", False).json(path)
+    df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns)).write.option("ignoreNullFields", False).json(path)
 
 
 def write_file(df: DataFrame, path: str) -> int:
-    """One file, JSON Lines by its suffix or else CSV; the bytes written.
+    """One file, JSON Lines by its suffix or else CSV; the rows written.
 
     Spark writes the parts beside it, in order; only whole files are joined here, so no
     row passes through Python.
     """
     lines, parts = path.endswith(".jsonl"), f"{path}.parts-{uuid.uuid4().hex}"
+    told = Observation()
+    df = df.observe(told, F.count(F.lit(1)).alias("rows"))
     write_jsonl(df, parts) if lines else df.write.options(**(CSV | {"header": False})).csv(parts)
     files, folder = opened(path)
     try:
@@ -41,8 +44,7 @@ def write_file(df: DataFrame, path: str) -> int:
                 source, inner = opened(part)
                 with source.open_input_stream(inner) as one:
                     shutil.copyfileobj(one, out, 1 << 20)
-            size = out.tell()
         files.delete_dir(opened(parts)[1])
     except OSError as why:
         raise ExportError(f"cannot write {path}: {why}") from why
-    return size
+    return told.get["rows"]
