@@ -14,7 +14,8 @@ import html as entities
 import math
 import random
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Container, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +40,10 @@ _CLOSED_BY_BLOCK = frozenset({"p", "h1", "h2", "h3", "h4", "h5", "h6"})
 _CLOSED_BY_SELF = frozenset({"li", "dt", "dd", "td", "th", "tr", "option"})
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""")
 _ODD_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
-_CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
+_CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in _RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Words that mark short texts around an article.
+#: Words that mark short texts around an article.
 _CUES = frozenset(
     "ad ads advert advertisement sponsored promoted cookie cookies consent accept privacy terms rights reserved copyright subscribe newsletter email login "
     "register password search share tweet reply replies comment comments posted says menu home next previous related trending tags".split()
@@ -50,9 +51,16 @@ _CUES = frozenset(
 _CUE_WORDS = re.compile(r"[a-z]+")
 
 
-def blocks(page: str) -> list[tuple[str, frozenset[str]]]:
-    """(text, features) of every leaf block with text, in page order."""
+def blocks(page: str, known: Container[str] | None = None) -> list[tuple[str, frozenset[str]]]:
+    """(text, features) of every leaf block with text, in page order.
+
+    Of the ancestors' features, only the ``known`` ones are kept, if any are told. Every
+    step either moves on in the page or closes what an earlier one opened, so pages of
+    any nesting and of tags that never close take time in proportion to their length.
+    """
     found: list[tuple[str, frozenset[str]]] = []
+    last = page.rfind(">")
+    opened: Counter[str] = Counter()
     stack: list[tuple[str, frozenset[str], frozenset[str]]] = [("", frozenset(), frozenset())]
     held: list[str] = []
     linked, links = 0, 0
@@ -83,9 +91,22 @@ def blocks(page: str) -> list[tuple[str, frozenset[str]]]:
             flush()
             island, parts, linked, links = around.pop()
             told = min(told, len(around))
-            del stack[island:]
+            cut(island)
             held.extend(parts)
 
+    def cut(level: int) -> None:
+        """Close the elements from this level on."""
+        opened.subtract(t for t, _, _ in stack[level:])
+        del stack[level:]
+
+    def place(tag: str) -> int:
+        """The level of the innermost open element of this name; 0 if there is none."""
+        return next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag) if opened[tag] > 0 else 0
+
+    def push(tag: str, attributes: str) -> None:
+        opened[tag] += 1
+        stack.append(_opened(tag, attributes, stack[-1], known))
+
     at, end = 0, len(page)
     while at < end:
         start = page.find("<", at)
@@ -96,7 +117,7 @@ def blocks(page: str) -> list[tuple[str, frozenset[str]]]:
             linked += start - at if links else 0
         if start == end:
             break
-        m = _TAG.match(page, start) or _ODD_TAG.match(page, start)
+        m = (_TAG.match(page, start) or _ODD_TAG.match(page, start)) if start < last else None
         if m is None:
             after = page[start + 1 : start + 2]
             if page.startswith("<!--", start):
@@ -112,7 +133,7 @@ def blocks(page: str) -> list[tuple[str, frozenset[str]]]:
         closes, tag = m.group(1), m.group(2).lower()
         empty = m.group(3).endswith("/")
         if tag in _CLOSING and not closes and tag not in unclosed:
-            if empty and any(t == "svg" for t, _, _ in stack):
+            if empty and opened["svg"] > 0:
                 continue
             stop = _CLOSING[tag].search(page, at)
             if stop or tag in _CODE:
@@ -121,41 +142,43 @@ def blocks(page: str) -> list[tuple[str, frozenset[str]]]:
             unclosed.add(tag)
         if tag in _ISLANDS:
             if closes:
-                level = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+                level = place(tag)
                 if level:
                     leave(level)
             elif not empty:
                 around.append((len(stack), held.copy(), linked, links))
                 held.clear()
                 linked = links = 0
-                stack.append(_opened(tag, m.group(3), stack[-1]))
+                push(tag, m.group(3))
         elif tag == "a":
             links = max(0, links - 1) if closes else links + 1
         elif tag in ("br", "annotation"):
             held.append(" ")
         elif tag in _BLOCKS:
-            level = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0) if closes else 0
+            level = place(tag) if closes else 0
             if level:
                 leave(level)
             flush()
             links = 0
             if closes:
                 if level:
-                    del stack[level:]
+                    cut(level)
             else:
                 if stack[-1][0] in _CLOSED_BY_BLOCK or (stack[-1][0] == tag and tag in _CLOSED_BY_SELF):
-                    stack.pop()
+                    cut(len(stack) - 1)
                 if tag not in _VOID and not empty:
-                    stack.append(_opened(tag, m.group(3), stack[-1]))
+                    push(tag, m.group(3))
     leave(0)
     flush()
     return found
 
 
-def _opened(tag: str, attributes: str, above: tuple[str, frozenset[str], frozenset[str]]) -> tuple[str, frozenset[str], frozenset[str]]:
+def _opened(tag: str, attributes: str, above: tuple[str, frozenset[str], frozenset[str]], known: Container[str] | None) -> tuple[str, frozenset[str], frozenset[str]]:
     """(tag, features of it and its ancestors, features of it alone)."""
     names = [w.lower() for name in _NAMES.findall(attributes) for w in _NAME_WORDS.findall("".join(name))] if "=" in attributes else []
     inherited = {f"in:{tag}", *(f"name:{w}" for w in names)}
+    if known is not None:
+        inherited = {f for f in inherited if f in known}
     return tag, above[1] if inherited <= above[1] else above[1] | inherited, frozenset((f"tag:{tag}", *(f"near:{w}" for w in names)))
 
 
@@ -202,7 +225,7 @@ class Chain:
         return out[::-1]
 
     def extract(self, page: str) -> str:
-        found = blocks(page)
+        found = blocks(page, self.weight)
         return "\n".join(text for (text, _), main in zip(found, self.viterbi(self.emission(found)), strict=True) if main)
 
 

@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -255,3 +256,14 @@ def test_extra_columns_do_not_clash(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 9), (2, "a b c d e f", 8)], "doc_id long, text string, component long").withColumn("bucket", F.lit(1)).withColumn("rep", F.lit("x"))
     assert sorted((r.doc_id, r.component_id) for r in near_dup.near_duplicates(df).collect()) == [(1, 1), (2, 1)]
     assert near_dup.keep_one_of_each(df).columns == df.columns
+
+
+def test_pages_of_any_nesting_are_read_in_one_go():
+    for unit in ("<div></p>", "<div class=a{}>", "<script ", "</title ", '<a href="', "<", "<svg><title/>", "<noscript>x", "<select>", "<!-- "):
+        took = []
+        for n in (1 << 17, 1 << 19):
+            page = "".join(unit.format(k) for k in range(n // len(unit)))
+            began = time.process_time()
+            page_text.blocks(page, {"in:div"})
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + 1  # four times the page; the square would be sixteen times, of seconds
