@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 #: Bytes of a table that is broadcast at most, by its rows written as JSON; beyond it the same join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Scripts, styles and comments of HTML, up to the end of the page where they never close.
+HIDDEN = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

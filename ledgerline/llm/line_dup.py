@@ -1,10 +1,11 @@
 """Site-relative line deduplication (operator 2).
 
 All DataFrame functions. A page becomes its text lines; a line's frequency is the share
-of its host's pages that hold it. Lines above the boilerplate ratio are dropped from
-every page of the host. A host can have at most (lines per page / ratio) such lines, so
-what joins back to the pages is small, and hosts of any size are counted by partial
-sums, not in one group. Lines travel as 64-bit hashes.
+of its host's pages that hold it. Lines above the boilerplate ratio, and on more than one
+page, are dropped from every page of the host. A host can have at most (lines per page /
+ratio) such lines, so what joins back to the pages is small, and hosts of any size are
+counted by partial sums, not in one group. Lines travel as 64-bit hashes. Patterns match
+to a page's end what never closes, so pages of any shape take time in proportion.
 """
 
 from __future__ import annotations
@@ -14,55 +15,51 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize, table
+from ledgerline.llm.common import HIDDEN, materialize, small, table
 from ledgerline.llm.url_filter import host
 
 RATIO = 0.3
-#: Pages from which a host's shares mean something; smaller hosts keep all lines.
-LEAST_PAGES = 10
-#: Lines broadcast at most, over all hosts (8 bytes each); beyond it the same join shuffles.
-BROADCAST_LINES = 2_000_000
-#: What ends a line of text in HTML.
+#: Pages of a host that must hold a line: what stands on one page alone repeats nowhere.
+LEAST_HELD = 2
+#: What ends a line of text in HTML.
 BLOCK_TAGS = (
     "address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer",
     "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "nav", "ol", "option", "p", "pre", "section",
     "select", "table", "td", "th", "title", "tr", "ul",
 )
-_HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-_BLOCK = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:[\s/][^>]*)?>"
+_BLOCK = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:[\s/][^>]*)?(?:>|\z)"
+_TAG = r"<[^>]*(?:>|\z)"
 
 
 def text_lines(html: Column) -> Column:
     """The non-empty text lines of a page: block tags and line feeds end lines, other white space becomes one space."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, " ")
-    text = F.regexp_replace(F.regexp_replace(text, _BLOCK, "\n"), "<[^>]*>", "")
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
+    text = F.regexp_replace(F.regexp_replace(text, _BLOCK, "\n"), _TAG, "")
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
     return F.array_remove(F.split(F.btrim(text, F.lit(" \n")), "\n"), "")
 
 
-def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_held: int = 1) -> DataFrame:
-    """(host, line, share) of the lines above the ratio on ``least_held`` pages or more, by hash, from (host, hashes) rows."""
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+def boilerplate_lines(pages: DataFrame, ratio: float = RATIO, least_held: int = LEAST_HELD) -> DataFrame:
+    """(host, line, share) of the lines above the ratio and on ``least_held`` pages or more, by hash, from (host, hashes) rows."""
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     held = pages.select("host", F.explode(F.array_distinct("hashes")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    return held.join(totals, "host").where((F.col("n") > F.col("pages") * ratio) & (F.col("n") >= least_held)).select("host", "line", (F.col("n") / F.col("pages")).alias("share"))
+    held = held.where(F.col("n") >= least_held)  # most lines stand on one page: they never meet the totals
+    return held.join(totals, "host").where(F.col("n") > F.col("pages") * ratio).select("host", "line", (F.col("n") / F.col("pages")).alias("share"))
 
 
-def drop_site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_held: int = 1) -> DataFrame:
+def drop_site_lines(pages: DataFrame, ratio: float = RATIO, least_held: int = LEAST_HELD) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text) of every page row.
 
     A line that a page repeats counts once for the page and is dropped everywhere.
-    Null and empty pages have no lines and an empty text. Urls without a host form one
-    site, the empty host. Repeated page rows count as pages; other columns are ignored.
-    Hosts of fewer than ``least_pages`` pages keep all lines; to treat every host, pass
-    least_pages=1 and least_held=2 or more, so that a lone page is not its own boilerplate.
+    Hosts of any size are treated alike; the only page of a host keeps its lines. Null
+    and empty pages have no lines and an empty text. Urls without a host form one site,
+    the empty host. Repeated page rows count as pages; other columns are ignored.
     """
     held = materialize(pages.select("page_id", host(F.col("url")).alias("host"), text_lines(F.col("html")).alias("lines")), "page-lines")
     held = held.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x)))
-    site = boilerplate_lines(held, ratio, least_pages, least_held).groupBy("host").agg(F.collect_set("line").alias("site"))
-    site = materialize(site, "site-lines")
-    few = (site.agg(F.sum(F.size("site"))).first()[0] or 0) <= BROADCAST_LINES
+    site = boilerplate_lines(held, ratio, least_held).groupBy("host").agg(F.collect_set("line").alias("site"))
     kept = F.when(F.col("site").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("site", F.xxhash64(x))))
-    cleaned = held.join(F.broadcast(site) if few else site, "host", "left")
+    cleaned = held.join(small(materialize(site, "site-lines")), "host", "left")
     cleaned = cleaned.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return cleaned.select(
         "page_id", "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text")
@@ -79,15 +76,15 @@ SQL: dict[str, str] = {
 WITH held AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-      coalesce(html, ''), '{_HIDDEN}', ' ', 'g'), '{_BLOCK}', chr(10), 'g'), '<[^>]*>', '', 'g'), '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'),
+      coalesce(html, ''), '{HIDDEN}', ' ', 'g'), '{_BLOCK}', chr(10), 'g'), '{_TAG}', '', 'g'), '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'),
       ' ' || chr(10)), chr(10)), lambda x: x <> '') AS lines
   FROM pages
 ), totals AS (
-  SELECT host, count(*) AS pages FROM held GROUP BY host HAVING count(*) >= {LEAST_PAGES}
+  SELECT host, count(*) AS pages FROM held GROUP BY host
 ), counted AS (
   SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM held) GROUP BY host, line
 ), site AS (
-  SELECT host, list(line) AS lines FROM counted JOIN totals USING (host) WHERE n > pages * {RATIO}::DOUBLE GROUP BY host
+  SELECT host, list(line) AS lines FROM counted JOIN totals USING (host) WHERE n > pages * {RATIO}::DOUBLE AND n >= {LEAST_HELD} GROUP BY host
 ), cleaned AS (
   SELECT page_id, held.host, len(held.lines)::BIGINT AS n_lines, list_filter(held.lines, lambda x: NOT list_contains(coalesce(site.lines, []), x)) AS kept
   FROM held LEFT JOIN site ON held.host = site.host

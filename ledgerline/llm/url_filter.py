@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialize, table
+from ledgerline.llm.common import HIDDEN, materialize, table
 from ledgerline.llm.components import connected_components
 
 #: (verdict, host, path) of the production rules.
@@ -23,11 +23,12 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _HOST = r"(?s)^.*?://([^/?#]*)"
 _PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
+#: A link, meta or base tag, up to its end or that of the page.
+_TAGS = r"(?is)<(?:link|meta|base)\b[^>]*"
+_REL = r"""(?is)[\s"'/]rel\s*=\s*(?:"[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""
+_HREF = r"""(?is)[\s"'/]href\s*=\s*["']?([^"'\s>]+)"""
+_EQUIV = r"""(?is)[\s"'/]http-equiv\s*=\s*["']?refresh\b"""
 _TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
-_BASE = r"""(?is)<base\b[^>]*\bhref\b[^>]*>"""
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 _REST = r"(?s)^.*?://[^/?#]*([^#]*)"
 _UP = ("..", ".%2e", "%2e.", "%2e%2e")
@@ -92,14 +93,22 @@ def resolve(base: Column, link: Column) -> Column:
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) keys of pages and of the urls that they redirect to or name canonical.
 
-    Pages without a host, and links that lead to none (mailto: and the like), have no edges.
+    Every canonical link and refresh of a page counts, but for those in comments, scripts
+    and styles; the first base element holds. Pages without a host, and links that lead
+    to none (mailto: and the like), have no edges.
     """
-    plain = lambda found: F.regexp_replace(found, "&amp;", "&")
-    told = pages.select("url", F.coalesce(F.col("html"), F.lit("")).alias("html")).where(F.col("html").rlike("(?i)canonical|refresh"))
-    link = plain(F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1))
-    target = plain(F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _TARGET, 1))
-    based = plain(F.regexp_extract(F.regexp_extract("html", _BASE, 0), _HREF, 1))
-    told = told.where(host(F.col("url")) != "").select("url", based.alias("based"), F.explode(F.array(link, target)).alias("to")).where("to <> ''")
+    told = pages.where(F.col("html").rlike("(?i)canonical|refresh") & (host(F.col("url")) != ""))
+    tags = F.regexp_extract_all(F.regexp_replace("html", HIDDEN, " "), F.lit(_TAGS), 0)
+    told = told.select("url", tags.alias("tags"))
+
+    def named(tag: str, what: str, value: str) -> Column:
+        """What the tags of a name, that have an attribute, lead to."""
+        own = F.filter("tags", lambda t: F.lower(F.substring(t, 2, len(tag))) == tag)
+        found = F.transform(F.filter(own, lambda t: t.rlike(what)), lambda t: F.regexp_replace(F.regexp_extract(t, value, 1), "&amp;", "&"))
+        return F.array_remove(found, "")
+
+    links = F.concat(named("link", _REL, _HREF), named("meta", _EQUIV, _TARGET))
+    told = told.select("url", F.get(named("base", _HREF, _HREF), F.lit(0)).alias("based"), F.explode(links).alias("to"))
     told = told.withColumn("base", F.coalesce(resolve(F.col("url"), F.col("based")), F.col("url")))
     edges = told.select(alias_key(F.col("url")).alias("src"), alias_key(resolve(F.col("base"), F.col("to"))).alias("dst"))
     return edges.where("src is not null and dst is not null")
@@ -155,7 +164,7 @@ WITH RECURSIVE urls AS (
   UNION ALL
   SELECT url, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*{_Q}refresh\b[^>]*>'), '(?is)\burl\s*=\s*{_Q}([^"''\s>;]+)', 1) FROM urls
 ), edges AS (
-  SELECT {_KEY.format("url")} AS a, {_KEY.format("replace(target, '&amp;', '&')")} AS b FROM told WHERE contains(target, '://')
+  SELECT {_KEY.format("url")} AS a, {_KEY.format("replace(target, '&amp;', '&')")} AS b FROM told WHERE contains(target, '://') AND {_KEY.format("url")} NOT LIKE '/%' AND {_KEY.format("url")} <> ''
 ), sides AS (
   SELECT a, b FROM edges UNION SELECT b, a FROM edges
 ), reach AS (

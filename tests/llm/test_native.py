@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -31,8 +32,9 @@ def test_site_lines(spark):
     assert [(got[k].host, got[k].n_lines, got[k].n_dropped, got[k].text) for k in (0, 11)] == [
         ("a.example", 3, 1, "Text 0 more\nText 0 more"), ("a.example", 3, 1, "Text 11 more\nText 11 more")
     ]
-    assert all(got[k].n_dropped == 0 and got[k].text == "Home\nother" for k in range(12, 21))  # too few pages to tell
-    assert [(got[k].host, got[k].n_lines, got[k].text) for k in range(21, 25)] == [("", 1, "Home"), ("a.example", 0, ""), ("a.example", 0, ""), ("", 1, "Home")]
+    assert all(got[k].n_dropped == 2 and got[k].text == "" for k in range(12, 21))  # nine pages of the same lines
+    # pages without a host are one site, and both say the same
+    assert [(got[k].host, got[k].n_lines, got[k].text) for k in range(21, 25)] == [("", 1, ""), ("a.example", 0, ""), ("a.example", 0, ""), ("", 1, "")]
 
 
 def test_share_is_of_all_pages_and_a_tie_keeps(spark):
@@ -43,13 +45,29 @@ def test_share_is_of_all_pages_and_a_tie_keeps(spark):
     assert line_dup.drop_site_lines(_pages(spark, [])).collect() == []
 
 
-def test_small_hosts_by_pages_that_hold_a_line(spark):
+def test_hosts_of_any_size(spark):
     rows = [(f"http://h{n}/{k}", f"<p>menu</p><p>text {k}</p>") for n in (1, 2, 3, 9, 10) for k in range(n)]
     for least, treated in ((2, {"h2", "h3", "h9", "h10"}), (3, {"h3", "h9", "h10"})):
-        got = line_dup.drop_site_lines(_pages(spark, rows), least_pages=1, least_held=least).collect()
+        got = line_dup.drop_site_lines(_pages(spark, rows), least_held=least).collect()
         assert len(got) == len(rows) and all(r.n_dropped == (r.host in treated) and ("menu" in r.text) == (r.host not in treated) for r in got)
 
 
+OPEN_TAGS = ("<script ", "<link ", "<meta ", "<div ", "<!-- ", "<style>", "<", "</p", '<a href="', "<base ")
+
+
+def test_long_pages_of_tags_that_never_close(spark):
+    rows = [(f"http://x.example/{k}", f"<p>start</p>canonical refresh{unit * ((1 << 20) // len(unit))}") for k, unit in enumerate(OPEN_TAGS)]
+    pages = _pages(spark, rows).cache()
+    assert pages.count() == len(rows)
+    for run in (lambda: line_dup.drop_site_lines(pages).count(), lambda: url_filter.judge(pages).count()):
+        began = time.perf_counter()
+        assert run() == len(rows)
+        assert time.perf_counter() - began < 60  # quadratic patterns take hours
+    got = line_dup.text_lines(F.col("html"))
+    assert [r[0][0] for r in pages.orderBy("page_id").select(got).collect()][0] == "start"
+    pages.unpersist()
+
+
 # ---- components
 
 
@@ -138,6 +156,22 @@ def test_blocks_spread_over_relative_links(spark):
     assert [got[k][3] for k in range(13)] == ["block"] * 8 + ["allow"] * 3 + ["block", "allow"]
 
 
+def test_every_link_counts_but_hidden_ones(spark):
+    link, refresh = '<link rel="{}" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    rows = [
+        ("http://a.example/0", link.format("canonical", "http://good.example/") + link.format("canonical", "http://bad.net/a")),  # 0: the second of two
+        ("http://a.example/1", refresh.format("http://good.example/1") + refresh.format("http://bad.net/a")),  # 1
+        ("http://a.example/2", "<!-- " + link.format("canonical", "http://bad.net/a") + " --><p>canonical"),  # 2: in a comment
+        ("http://a.example/3", "<script>'" + refresh.format("http://bad.net/a") + "'</script>"),  # 3: in a script
+        ("http://a.example/4", link.format("alternate", "http://bad.net/a") + " canonical"),  # 4: another relation
+        ("http://a.example/5", link.format("x canonical", "http://bad.net/a")),  # 5: one of several relations
+        ("http://a.example/6", '<link data-rel="canonical" data-href="http://bad.net/a">'),  # 6: other attributes
+        ("http://a.example/7", '<linkx rel="canonical" href="http://bad.net/a"><a rel="canonical" href="http://bad.net/a">'),  # 7: other tags
+    ]
+    got = _verdicts(spark, rows)
+    assert [got[k][3] for k in range(8)] == ["block", "block", "allow", "allow", "allow", "block", "allow", "allow"]
+
+
 def test_pages_without_a_host_share_no_alias(spark):
     refresh = '<meta http-equiv="refresh" content="0; url={}">'
     rows = [(None, refresh.format("http://bad.net/a")), ("no url", refresh.format("http://good.example/")), ("http://good.example/", None), (None, refresh.format("/a")), ("", None)]
