@@ -1,5 +1,6 @@
 """Line rules, mixing, token shards and repeated substrings against plain Python, with the odd cases."""
 
+import collections
 import hashlib
 import random
 import zlib
@@ -261,29 +262,89 @@ def _repeats(rows, k=13):
     return out
 
 
-@pytest.mark.parametrize("bucket_bytes, slab_bytes, part_bytes", [(20 << 20, 12 << 20, 16 << 20), (2000, 500, 900)])
-def test_spans_match_brute_force(spark, monkeypatch, bucket_bytes, slab_bytes, part_bytes):
-    monkeypatch.setattr(substring_dup, "BUCKET_BYTES", bucket_bytes)
-    monkeypatch.setattr(substring_dup, "PART_BYTES", part_bytes)
-    rng = random.Random(9)
+def _passages(rng):
     passages = [rng.choices([f"w{k}" for k in range(50)], k=n) for n in (12, 13, 14, 40, 90)]
     rows = [(900 + k, t) for k, t in enumerate(ODD)]
     for d in rng.sample(range(500), 70):
         text = []
         for _ in range(rng.randint(1, 3)):
             text += rng.choices([f"v{k}" for k in range(30)], k=rng.choice([0, 5, 20]))
-            text += rng.choice(passages)
+            passage = rng.choice(passages)
+            low = rng.choice([0, 0, 3, 20])
+            text += passage[low : low + rng.choice([100, 25, 60])]
         rows.append((d, rng.choice([" ", "\n", "  "]).join(text)))
-    rows += [(d, "x " * 30) for d in (601, 600)] + [(-5, " ".join(passages[3])), (700, "y " * 40)]
+    return rows + [(d, "x " * 30) for d in (601, 600)] + [(-5, " ".join(passages[3])), (700, "y " * 40)]
+
+
+def _small_tasks(monkeypatch):
+    for name, size in (("ANCHOR_BYTES", 4000), ("BUCKET_BYTES", 2000), ("PART_BYTES", 900), ("COMPARED_BYTES", 2000)):
+        monkeypatch.setattr(substring_dup, name, size)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_spans_match_brute_force(spark, monkeypatch, small):
+    if small:
+        _small_tasks(monkeypatch)
+    rows = _passages(random.Random(9))
     got = {r.doc_id: r for r in substring_dup.repeated_spans(_docs(spark, rows)).collect()}
     assert {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in got.items()} == _repeats(rows)
     assert all(sum(b - a for a, b in zip(r.starts, r.ends)) == r.n_removed for r in got.values())
     assert got[700].n_removed == 0  # repeats inside one document stay
 
 
-def test_parts_are_told_alike(spark):
-    ids = [0, 1, -5, 10**15, 77]
-    df = spark.createDataFrame([(d,) for d in ids], "doc_id long")
-    got = {r.doc_id: r.part for r in df.select("doc_id", substring_dup._part(df.doc_id, 17).alias("part")).collect()}
-    assert got == {d: substring_dup.part_of(d, 17) for d in ids}
+def test_windows_of_other_words_stay(spark, monkeypatch):
+    """With ten bits of a hash, edges of other words meet: the comparison keeps them."""
+    _small_tasks(monkeypatch)
+    rows = _passages(random.Random(4))
+    want = _repeats(rows)
+    got = {r.doc_id: r for r in substring_dup.repeated_spans(_docs(spark, rows), bits=10).collect()}
+    assert set(got) == set(want) and all(0 <= r.n_removed <= want[d][1] and r.n_words == want[d][0] for d, r in got.items())
+    texts = dict(rows)
+    for d, r in got.items():
+        gone = {k for a, b in zip(r.starts, r.ends) for k in range(a, b)}
+        kept = " ".join(w for k, w in enumerate(WORD.findall(texts[d] or "")) if k not in gone)
+        assert r.kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+    assert sum(r.n_removed for r in got.values()) < sum(x[1] for x in want.values())
+
+
+def test_rows_of_one_id_and_of_none(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(1, passage), (1, passage), (1, f"x {passage} y"), (2, f"{passage} z"), (None, passage), (None, f"q {passage}"), (3, None)]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dup.repeated_spans(_docs(spark, rows)).collect())
+    assert got == [(False, 1, 20, 0), (False, 1, 20, 0), (False, 1, 22, 0), (False, 2, 21, 20), (False, 3, 0, 0), (True, 0, 20, 0), (True, 0, 21, 0)]
     assert substring_dup.repeated_spans(_docs(spark, [])).collect() == []
+
+
+def _edges(rows, k=4):
+    """{edge of words: smallest (document, place)} of the edges that several documents have."""
+    places: dict[tuple, list] = {}
+    for d, t in rows:
+        w = WORD.findall(t)
+        for j in range(len(w) - k + 1):
+            places.setdefault(tuple(w[j : j + k]), []).append((d, j))
+    return {e: min(x) for e, x in places.items() if len({d for d, _ in x}) > 1}
+
+
+def test_paths_are_the_graphs(spark, monkeypatch):
+    _small_tasks(monkeypatch)
+    text = {1: "a b c d e f g h", 2: "c d e f g h i j k l m", 3: "z i j k l m n", 4: "h i j k l m n o", 5: "a b c d e f Q R", 6: "e f g h i j x f g h i j", 7: "s t u v s t u v s t", 8: "t u v s t u v s t u"}
+    rows = list(text.items())
+    owned, words = _edges(rows), {d: t.split() for d, t in rows}
+    spans = substring_dup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), k=4)
+    pieces = substring_dup.paths(spans).collect()
+    edge_of = lambda p, j: tuple(words[p.doc_id][p.start + j : p.start + j + 4])
+    assert sorted(edge_of(p, j) for p in pieces for j in range(p.n)) == sorted(owned)
+    leave, enter = collections.Counter(e[:3] for e in owned), collections.Counter(e[1:] for e in owned)
+    through = lambda v: leave[v] == enter[v] == 1
+    joined: dict[int, list] = {}
+    for p in sorted(pieces, key=lambda p: p.offset):
+        joined.setdefault(p.path, []).extend((p.offset + j, edge_of(p, j)) for j in range(p.n))
+    ends = 0
+    for path in joined.values():
+        edges = [e for _, e in path]
+        if [n for n, _ in path] == list(range(len(path))):  # not a circle of several pieces
+            assert all(a[1:] == b[:3] and through(b[:3]) for a, b in zip(edges, edges[1:]))
+            ends += (not through(edges[0][:3]) or edges[0][:3] == edges[-1][1:]) and (not through(edges[-1][1:]) or edges[0][:3] == edges[-1][1:])
+        else:
+            ends += all(through(e[:3]) for e in edges)
+    assert ends == len(joined) < len(owned)
