@@ -14,7 +14,7 @@ import html as entities
 import math
 import random
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Container, Iterable, Iterator
 
 import numpy as np
@@ -60,7 +60,7 @@ def blocks(page: str, known: Container[str] | None = None) -> list[tuple[str, fr
     """
     found: list[tuple[str, frozenset[str]]] = []
     last = page.rfind(">")
-    opened: Counter[str] = Counter()
+    opened: dict[str, int] = defaultdict(int)
     stack: list[tuple[str, frozenset[str], frozenset[str]]] = [("", frozenset(), frozenset())]
     held: list[str] = []
     linked, links = 0, 0
@@ -96,8 +96,8 @@ def blocks(page: str, known: Container[str] | None = None) -> list[tuple[str, fr
 
     def cut(level: int) -> None:
         """Close the elements from this level on."""
-        opened.subtract(t for t, _, _ in stack[level:])
-        del stack[level:]
+        while len(stack) > level:
+            opened[stack.pop()[0]] -= 1
 
     def place(tag: str) -> int:
         """The level of the innermost open element of this name; 0 if there is none."""
