@@ -11,8 +11,11 @@
 3. Buckets that still hold several components draw further heads from their largest one
    for the members outside it, as long as each turn cuts the pairs left by a fifth.
 4. What is left is finished exactly: the members outside the bucket's largest component
-   against all others of another component, in salted blocks, by sketch and then on full
-   sets. Pairs inside one component are never made.
+   against all others of another component. Either in salted blocks, by sketch; or by
+   prefixes: texts of that similarity share one of the rarest shingles of both, of which a
+   quarter of the set and one more need be looked at, so families that share most of a
+   text and are not similar make no pairs. Both find every link; the one with fewer pairs
+   is taken. Pairs inside one component are never made.
 5. Components come from contraction joins.
 
 Two documents of similarity 0.75 share a band with probability 1 - 5e-6, and the
@@ -26,10 +29,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import bound_batches, materialize, table
+from ledgerline.llm.common import bound_batches, materialize, small, table
 from ledgerline.llm.components import connected_components
 from ledgerline.llm.textbatch import Words, chunks, mix, ragged, text_buffers
 
@@ -38,8 +42,6 @@ THRESHOLD_PERCENT = 75
 BANDS, ROWS = 32, 4
 #: Bins of the one-permutation samples, and bits of the bitmap they are folded into.
 BINS, SKETCH_BITS = 8192, 2048
-#: Ids broadcast at most (16 MB as longs); beyond it the same join shuffles.
-BROADCAST_IDS = 2_000_000
 #: Members of one block of a bucket that is compared pair by pair, and rows of blocks in one group.
 BLOCK, CELL_ROWS = 1024, 8192
 #: Turns of further heads at most, and pairs left from which the exact finish is cheaper than a turn.
@@ -170,7 +172,10 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         heads = batch.column("a").to_numpy()
-        new = np.flatnonzero(np.append(True, heads[1:] != heads[:-1])) if len(heads) else np.zeros(0, dtype=int)
+        # rows of one id may have several texts
+        text_a = batch.column("text_a")
+        other = pc.not_equal(text_a.slice(1), text_a.slice(0, len(text_a) - 1)).fill_null(True).to_numpy(zero_copy_only=False) if len(heads) else None
+        new = np.flatnonzero(np.append(True, (heads[1:] != heads[:-1]) | other)) if len(heads) else np.zeros(0, dtype=int)
         left, right = sets(batch.column("text_a").take(pa.array(new))), sets(batch.column("text_b"))
         which = np.searchsorted(new, np.arange(len(heads)), "right") - 1
         common = np.array([len(np.intersect1d(left[k], r, assume_unique=True)) for k, r in zip(which, right, strict=True)], dtype=np.int64)
@@ -182,9 +187,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    ids = small(materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids"))
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     return (
         pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -288,16 +292,56 @@ def remaining_pairs(placed: DataFrame, open_: DataFrame, reps: DataFrame, percen
     return sides.groupBy("cell").applyInArrow(lambda rows: _block_pairs(rows, percent), "a long, b long")
 
 
+def _open_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, high, data, offsets in chunks(batch.column("text")):
+            doc, value = Words(data, offsets, fold=True).shingles(SHINGLE_WORDS)
+            sizes = np.bincount(doc, minlength=high - low)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, high - low), ragged(pa.array(value.view(np.int64)), sizes)], names=["doc_id", "shingles"])
+
+
+def prefixes(docs: DataFrame, placed: DataFrame, open_: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """(token, doc_id, n, component, outside): the rarest shingles of the open buckets' members.
+
+    Sets of sizes n and m of the similarity share one of the n - ceil(n percent) + 1 first
+    shingles of one and as many of the other in any one order; here by how many members
+    hold a shingle. Those of one member take up places, but find nobody.
+    """
+    rest = placed.join(open_.select("bucket", "largest"), "bucket")
+    members = materialize(rest.groupBy("doc_id").agg(F.min("component").alias("component"), F.bool_or(F.col("component") != F.col("largest")).alias("outside")), "open-members")
+    texts = docs.select("doc_id", "text").join(small(materialize(members.select("doc_id"), "open-ids")), "doc_id", "left_semi")
+    held = materialize(texts.mapInArrow(_open_shingles, "doc_id long, shingles array<long>"), "open-shingles")
+    each = held.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    counts = materialize(each.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"), "shingle-counts")
+    common = each.join(small(counts), "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("common"))
+    places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("common"))
+    common = common.withColumn("places", places.cast("int")).where("places > 0")
+    told = common.select("doc_id", "n", F.explode(F.slice("common", F.lit(1), F.col("places"))).alias("c")).select("doc_id", "n", "c.token")
+    return materialize(told.join(members, "doc_id"), "prefixes")
+
+
+def prefix_pairs(prefix: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """(a, b): members of different components, one outside its bucket's largest, that share a prefix shingle and may be similar by size."""
+    right = prefix.select("token", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("component").alias("other_component"), F.col("outside").alias("other_outside"))
+    found = prefix.where("outside").join(right, "token").where("component <> other_component and (not other_outside or doc_id < other)")
+    found = found.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    return found.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
     Ties and copies: equal texts share a class. Null, empty and wordless texts have no
-    shingles and are their own component. Documents need unique, non-null ids; columns
-    besides doc_id and text are ignored.
+    shingles and are their own component. Rows of one id are one node of the graph, each
+    with its own n_shingles. A row without an id belongs to the component of an equal
+    text, if there is one; else its component_id is null and it is kept. Columns besides
+    doc_id and text are ignored.
     """
     signed = materialize(signatures(docs), "signatures")
     sets = ["n_shingles", "set_a", "set_b"]
-    classes = signed.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"))
+    # most texts have no equal: only classes of several go back to their members
+    classes = signed.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = small(materialize(classes, "classes"))
     member = materialize(
         signed.select("doc_id", *sets).join(classes, sets, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members"
     )
@@ -330,21 +374,31 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
         placed = materialize(merged(placed, confirm(docs, pairs, percent)), "placed")
 
     # 4. what still is apart, exactly
-    pairs = materialize(remaining_pairs(placed, open_buckets(placed), reps, percent), "pairs")
+    open_ = materialize(open_buckets(placed), "open")
+    blocks = open_.agg(F.sum(F.col("members") * F.col("outside"))).first()[0] or 0
+    prefix, shared = None, blocks
+    if blocks > FINISH_PAIRS:
+        prefix = prefixes(docs, placed, open_, percent)
+        loads = prefix.groupBy("token").agg((F.count_if("outside") * F.count("*")).alias("pairs"))
+        shared = loads.agg(F.sum("pairs")).first()[0] or 0
+    pairs = prefix_pairs(prefix, percent) if prefix is not None and shared < blocks else remaining_pairs(placed, open_, reps, percent)
+    pairs = materialize(pairs, "pairs")
     if not pairs.isEmpty():
         placed = merged(placed, confirm(docs, pairs, percent))
     parts = placed.select(F.col("doc_id").alias("rep"), "component").distinct()
     return (
         member.join(parts, "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """The documents that stand for their near-duplicate component, all columns kept."""
-    kept = near_duplicates(docs, percent).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents that stand for their near-duplicate component, all columns kept; rows without an id are kept."""
+    kept = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"))
+    rows = docs.select(F.struct("*").alias("row"))
+    named = rows.where("row.doc_id is not null").join(kept, F.col("row.doc_id") == F.col("kept_id"), "left_semi")
+    return named.unionByName(rows.where("row.doc_id is null")).select("row.*")
 
 
 def op3_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
