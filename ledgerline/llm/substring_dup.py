@@ -7,7 +7,7 @@ smallest document, at its first such place, owns the edge: its source coordinate
 1. Anchors. The least of the hashes of its runs of six words names a window; equal windows
    have equal anchors. Buckets of the anchors' hashes find those of several documents: only
    windows with such an anchor, few in most corpora, can repeat and go on as edges.
-2. Edges. Buckets of the edges' hashes find each edge's owner and answer every document
+2. Edges. Buckets of their anchors find each edge's owner and answer every document
    with its repeated edges and their source coordinates, and owners with what they own.
 3. Paths. Owned edges are the graph. Vertices where edges meet or part end a path; stretches
    of neighbouring edges of an owner are cut there, and those that go on in another document
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import bound_batches, materialize, small, table
-from ledgerline.llm.textbatch import Words, chunks, mix
+from ledgerline.llm.textbatch import CHUNK_BYTES, Words, chunks, mix, text_buffers
 
 WINDOW_WORDS, ANCHOR_WORDS = 13, 6
 #: Text bytes per bucket of anchors (a fifth as many as windows) and per bucket of edges.
@@ -238,27 +238,38 @@ def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
 
 
 def _texts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Documents, compressed, to their parts."""
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
-        ids = batch.column("doc_id")
+    """Documents, a slab at a time, compressed, to their parts."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    held: list[pa.RecordBatch] = []
+
+    def dealt() -> Iterator[pa.RecordBatch]:
+        slab = pa.Table.from_batches(held)
+        ids, texts = slab.column("doc_id").combine_chunks(), slab.column("text")
         known = np.asarray(ids.is_valid())
         number = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = part_of(number, parts)
         order = np.argsort(part, kind="stable")
-        ends = np.flatnonzero(np.append(part[order][1:] != part[order][:-1], True)) + 1 if len(order) else []
+        data, offsets = text_buffers(texts)
+        begins = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
         rows = []
-        for low, high in zip([0, *ends[:-1]] if len(order) else [], ends, strict=True):
-            own = order[low:high]
-            texts = [(t or "").encode() for t in batch.column("text").take(pa.array(own)).to_pylist()]
+        for own in np.split(order, begins[1:]):
             rows.append(
                 {
                     "to": int(part[own[0]]), "kind": TEXT, "part": int(part[own[0]]), "docs": number[own].astype("<i8").tobytes(), "uids": known[own].tobytes(),
-                    "counts": np.array([len(t) for t in texts], dtype="<u4").tobytes(), "text": squeeze(b"".join(texts)),
+                    "counts": (offsets[own + 1] - offsets[own]).astype("<u4").tobytes(),
+                    "text": squeeze(b"".join([data[a:b].tobytes() for a, b in zip(offsets[own].tolist(), offsets[own + 1].tolist(), strict=True)])),
                 }
             )
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, _MESSAGE)
+        yield pa.RecordBatch.from_pylist(rows, _MESSAGE)
+
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= SLAB_BYTES:
+            yield from dealt()
+            held = []
+    if held:
+        yield from dealt()
 
 
 def _received(batches: Iterator[pa.RecordBatch]) -> tuple[list[dict], list[Documents]]:
@@ -267,11 +278,24 @@ def _received(batches: Iterator[pa.RecordBatch]) -> tuple[list[dict], list[Docum
     for row in _rows(batches):
         (answers if row["kind"] == ANSWER else texts).append(row)
     expand = zstandard.ZstdDecompressor().decompress
-    docs = []
+    docs: list[Documents] = []
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def read() -> None:
+        ids, known, sizes, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        docs.append(Documents(ids, known, data, np.concatenate(([0], np.cumsum(sizes)))))
+        held.clear()
+
+    size = 0
     for row in texts:
-        data = np.frombuffer(expand(row["text"]), dtype=np.uint8) if len(row["text"]) else np.zeros(0, dtype=np.uint8)
-        offsets = np.concatenate(([0], np.cumsum(np.frombuffer(row["counts"], "<u4"), dtype=np.int64)))
-        docs.append(Documents(np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["uids"], bool), data, offsets))
+        data = np.frombuffer(expand(row["text"]), dtype=np.uint8)
+        held.append((np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["uids"], bool), np.frombuffer(row["counts"], "<u4").astype(np.int64), data))
+        row["text"], size = b"", size + len(data)
+        if size >= CHUNK_BYTES:
+            read()
+            size = 0
+    if held:
+        read()
     return answers, docs
 
 
@@ -306,17 +330,18 @@ def _candidates(batches: Iterator[pa.RecordBatch], k: int, buckets: int, parts:
             pick = np.concatenate(picked)
             every, edge = d.words.windows(k)
             edge = edge[np.searchsorted(every, at[pick])] >> np.uint64(64 - bits)
-            held.append((d.ids[own[pick]], d.uids[own[pick]], edge, at[pick] - d.words.first[own[pick]]))
+            held.append((d.ids[own[pick]], d.uids[own[pick]], edge, at[pick] - d.words.first[own[pick]], anchor[pick]))
     if not held:
         return
-    doc, uid, edge, at = (np.concatenate(x) for x in zip(*held, strict=True))
+    doc, uid, edge, at, anchor = (np.concatenate(x) for x in zip(*held, strict=True))
     lead, later = _owners(doc, uid, edge, at)
     hit = np.flatnonzero(later)
     yield from _through(buckets, part_of(doc[hit], parts), doc[hit], uid[hit], _with_source(doc, uid, at, hit, lead))
     repeated = np.zeros(len(edge), dtype=np.int64)
     repeated[lead[hit]] = 1
     on = np.flatnonzero(~later)
-    yield from _messages(_bucket_of(edge[on], buckets), ENTRY, doc[on], uid[on], {"keys": edge[on], "at": at[on], "src_at": repeated[on]})
+    # equal edges have equal anchors, which neighbours share: a document's entries stay together
+    yield from _messages(_bucket_of(anchor[on], buckets), ENTRY, doc[on], uid[on], {"keys": edge[on], "at": at[on], "src_at": repeated[on]})
 
 
 def _owners(doc: np.ndarray, uid: np.ndarray, edge: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -387,7 +412,7 @@ def _cut(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
 
     for d in docs:
         rows = []
-        vertices = d.words.windows(k - 1) if any(n in told for n in d.names()) else None
+        vertices = None
         for j, name in enumerate(d.names()):
             n = int(d.words.counts[j])
             gone, runs, owned, windows = np.zeros(n, dtype=bool), [], [], []
@@ -398,6 +423,8 @@ def _cut(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
                 own = (src[pick] == name[0]) & (src_uid[pick] == np.uint64(name[1])) & (src_at[pick] == at[pick])
                 mine, theirs = pick[own], pick[~own]
                 text = words_of(name)
+                if len(mine) and vertices is None:
+                    vertices = d.words.windows(k - 1)
                 for a, b in _stretches(at[mine].astype(np.int64)):
                     begin, size = int(at[mine[a]]), b - a
                     place = np.searchsorted(vertices[0], d.words.first[j] + begin)
