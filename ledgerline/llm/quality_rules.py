@@ -5,7 +5,8 @@ Every line is judged alone; it fails if
 * punctuation: it has one noise character ``#*$%&|<>!`` for every two words or more, or
   it has at most three words and no closing punctuation;
 * navigation: three words in ten or more hold no letter or digit (``|``, ``»`` ...);
-* boilerplate: it has at most twenty words and a phrase of site boilerplate.
+* boilerplate: it has at most twenty words and a phrase of site boilerplate, in English,
+  German, French or Spanish.
 
 Failed lines are removed; a document that loses more than half of its words is
 rejected. The base rules reject documents of under 50 words and those mostly made of
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.common import bound_batches, table
 from ledgerline.llm.textbatch import Words, chunks
-from ledgerline.llm.textstats import BOILERPLATE, NOISE, SYMBOLS, Lines, per_doc, repeated_words
+from ledgerline.llm.textstats import NOISE, SYMBOLS, Lines, per_doc, phrase_pattern, repeated_words
 
 LEAST_WORDS, REPEAT_PERCENT, LOSS_PERCENT = 50, 50, 50
 
@@ -113,7 +114,7 @@ WITH docs AS (
          2 * length(regexp_replace(line, '[^#*$%&|<>!]', '', 'g')) >= len(w)
          OR (len(w) <= 3 AND NOT regexp_matches(w[len(w)], '[.!?:;"'')\]…”’»。]$'))
          OR 10 * len(list_filter(w, lambda x: NOT regexp_matches(x, '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]'))) >= 3 * len(w)
-         OR (len(w) <= 20 AND regexp_matches(line, '(?i){"|".join(BOILERPLATE)}')) AS bad
+         OR (len(w) <= 20 AND regexp_matches(line, '(?i){phrase_pattern().replace(chr(39), chr(39) * 2)}')) AS bad
   FROM lines WHERE len(w) > 0
 ), by_line AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup, sum(CASE WHEN bad THEN n ELSE 0 END) AS lost FROM judged GROUP BY doc_id

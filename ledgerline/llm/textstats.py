@@ -20,15 +20,28 @@ NOISE = _mask("#*$%&|<>!")
 #: Bytes of words that are more than separators: letters, digits, anything beyond ASCII.
 SOLID = np.ones(256, dtype=bool)
 SOLID[:48] = SOLID[58:65] = SOLID[91:97] = SOLID[123:128] = False
-#: Characters that end a sentence or a quotation, as UTF-8.
+#: Characters that end a sentence or a quotation, as UTF-8.
 TERMINAL = _mask(".!?:;\"')]")
 TERMINAL_WIDE = ("…", "”", "’", "»", "。")
-#: Phrases of site boilerplate, lower-case.
+#: Phrases of site boilerplate in the corpus's languages, lower-case.
 BOILERPLATE = (
     "accept cookies", "all rights reserved", "click here", "cookie policy", "log in", "powered by", "privacy policy", "read more",
     "sign in", "sign up", "skip to content", "subscribe now", "terms of service", "terms of use", "unsubscribe",
+    "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "cookies akzeptieren", "datenschutzerklärung", "impressum", "jetzt abonnieren",
+    "jetzt anmelden", "mehr erfahren", "passwort vergessen", "weiterlesen", "zum inhalt springen",
+    "accepter les cookies", "aller au contenu", "conditions d'utilisation", "lire la suite", "mentions légales", "mot de passe oublié",
+    "politique de confidentialité", "se connecter", "se désabonner", "tous droits réservés",
+    "aceptar cookies", "aviso legal", "iniciar sesión", "ir al contenido", "leer más", "política de privacidad", "suscríbete", "todos los derechos reservados", "términos de uso",
 )
-_PHRASES = re.compile("|".join(re.escape(p) for p in BOILERPLATE).encode(), re.IGNORECASE)
+
+
+def phrase_pattern() -> str:
+    """BOILERPLATE as alternatives, the same in any engine: case is ignored for ASCII by option, for other letters by both."""
+    both = lambda c: f"(?:{c}|{c.upper()})" if not c.isascii() else re.escape(c) if not c.isalnum() and c not in " '" else c
+    return "|".join("".join(map(both, p)) for p in BOILERPLATE)
+
+
+_PHRASES = re.compile(phrase_pattern().encode(), re.IGNORECASE)
 
 
 def per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:

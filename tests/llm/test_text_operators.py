@@ -5,12 +5,14 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from ledgerline.llm import mixing, quality_rules, substring_dup, token_shards
-from ledgerline.llm.textbatch import text_buffers
+from ledgerline.llm.textbatch import Words, text_buffers
+from ledgerline.llm.textstats import Lines, phrase_pattern
 from tests.llm.brute import WORD
 
 DOCS = "doc_id long, text string, source string, size int, part string"
@@ -73,6 +75,14 @@ def test_line_verdicts(spark):
     assert quality_rules.line_rules(_docs(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("line", ["Mentions LÉGALES ici", "tous droits réservés.", "Política de Privacidad", "Zum Inhalt springen", "Datenschutzerklärung lesen", "All Rights Reserved 2020", "CONDITIONS D'UTILISATION"])
+def test_boilerplate_of_several_languages(line):
+    data = f"{line}\nan ordinary line".encode()
+    lines = Lines(Words(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)])))
+    assert lines.boilerplate().tolist() == [True, False]
+    assert duckdb.connect().execute(f"SELECT regexp_matches('{line.replace(chr(39), chr(39) * 2)}', '(?i){phrase_pattern().replace(chr(39), chr(39) * 2)}')").fetchall() == [(True,)]
+
+
 # ---- mixing
 
 
