@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.llm.common import bound_batches, table
 from ledgerline.llm.line_dup import BLOCK_TAGS
 
-TRAINING_PAGES, EPOCHS, RATE, PENALTY = 400, 10, 0.3, 1e-4
+TRAINING_PAGES, EPOCHS, RATE, PENALTY = 1000, 10, 0.3, 1e-4
 SEED = 11
 
 _BLOCKS = frozenset(BLOCK_TAGS) - {"br", "body", "html"} | {"button", "iframe", "label", "nav", "textarea", "caption", "thead", "tbody", "center", "summary", "details"}
@@ -304,10 +304,17 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tuple[
     def furniture(kind: str) -> str:
         some = prose() if rng.random() < 0.6 else words(2, 8)
         if kind == "menu":
+            links = rng.choice([" ", " | ", "<br>", " &middot; "]).join(link() for _ in range(rng.randint(2, 7)))
+            if rng.random() < 0.4:
+                return rng.choice([f"<div>{links}</div>", f"<p>{links}</p>", f"<div {named('nav menu topnav links left toolbar')}>{links}</div>", f"<dl><dt>{links}</dl>"])
             return rng.choice([f"<nav>{menu()}</nav>", f"<div {named('nav menu navbar navigation breadcrumb breadcrumbs pagination pager')}>{menu()}</div>", f'<div role="navigation">{menu()}</div>'])
         if kind == "header":
+            if rng.random() < 0.3:
+                return f"<div {named('head header top site title brand masthead')}>{rng.choice(['<h1>{}</h1>', '<h2>{}</h2>', '{}']).format(words(1, 4))}</div>"
             return rng.choice([f"<header><h1>{words(1, 4)}</h1>{some}</header>", f"<div {named('header masthead banner topbar logo')}>{link()} {words(1, 5)}</div>", f"<header><p>{prose()}</p></header>"])
         if kind == "footer":
+            if rng.random() < 0.2:
+                return f"<div>{rng.choice(['Copyright', '&copy;', '(c)'])} {rng.randint(1995, 2024)} {words(1, 5)}{rng.choice(['', '. ' + sentence(2, 5)])}</div>"
             return rng.choice([f"<footer>&copy; {words(1, 5)} {some}</footer>", f"<div {named('footer colophon copyright legal bottom')}><p>{some}</p></div>", f"<footer><p>{prose()}</p>{menu()}</footer>"])
         if kind == "side":
             return rng.choice([f"<aside><h3>{words(1, 4)}</h3>{menu()}</aside>", f"<aside><p>{prose()}</p></aside>", f"<div {named('sidebar side related widget recommended trending popular teaser')}><h4>{words(1, 4)}</h4><p>{some}</p></div>"])
@@ -350,13 +357,15 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tuple[
                     put("li", sentence(3, 15))
             elif rng.random() < 0.05:
                 put("blockquote", prose())
+            elif rng.random() < 0.06:
+                put("div", prose())
             else:
                 put("p", prose() if rng.random() < 0.85 else sentence(1, 6))
             if other.random() < 0.06:
                 gold.append(" ".join(island_words(4, 18).capitalize() + "." for _ in range(other.randint(1, 4))))
                 parts.append(other.choice(["<noscript><p>{}</p></noscript>", "<object data=x><p>{}</p></object>", "<canvas>{}</canvas>"]).format(gold[-1]))
-            if rng.random() < 0.07:
-                parts.append(furniture(rng.choice(["ad", "notice", "share", "form", "side"])))
+            if rng.random() < 0.15:
+                parts.append(furniture(rng.choice(["ad", "ad", "notice", "share", "form", "side"])))
         if rng.random() < 0.15:
             parts.append(furniture("comments"))
         holder = rng.choice(holders).replace("{n}", named("content article post entry story body text main article-body post-content entry-content"))
@@ -364,7 +373,17 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> Iterator[tuple[
         after = [furniture(k) for k in rng.sample(kinds, rng.randint(0, 5))] + ([furniture("footer")] if rng.random() < 0.8 else [])
         before += [aside_island()] if other.random() < 0.2 else []
         after += [aside_island()] if other.random() < 0.1 else []
-        body = "\n".join([*before, holder.replace("{}", "".join(parts)), *after])
+        article = "".join(parts)
+        if rng.random() < 0.08:  # a table of the page's parts
+            cell = lambda x: f"<td {named('left right top bottom nav side menu footer cell')}>{x}</td>" if rng.random() < 0.6 else f"<td>{x}</td>"
+            own = f"<td {named('content main text body article')}>{article}</td>" if rng.random() < 0.7 else f"<td>{article}</td>"
+            rows = ["".join(map(cell, before[:1])), "".join([*map(cell, before[1:]), own, *map(cell, after[:1])]), *map(cell, after[1:])]
+            body = "<table>" + "".join(f"<tr>{r}</tr>" for r in rows if r) + "</table>"
+        else:
+            if rng.random() < 0.05:  # text that only line breaks part, in an element without a name
+                gold.append(" ".join(more := [prose() for _ in range(rng.randint(1, 3))]))
+                article += f"<div>{rng.choice(['<br>', '<br><br>']).join(more)}</div>"
+            body = "\n".join([*before, holder.replace("{}", article), *after])
         yield f"<!DOCTYPE html><html><head><title>{words(1, 8)}</title></head><body>{body}</body></html>", "\n".join(gold)
 
 

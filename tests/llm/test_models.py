@@ -267,3 +267,49 @@ def test_pages_of_any_nesting_are_read_in_one_go():
             page_text.blocks(page, {"in:div"})
             took.append(time.process_time() - began)
         assert took[1] < 12 * took[0] + 1  # four times the page; the square would be sixteen times, of seconds
+
+
+# pages of layouts that the training set does not make, written by hand
+P1 = "The harbour opened again on Monday after three weeks of storms that kept every boat in port. Fishermen said the season was lost."
+P2 = "Prices at the market rose by a fifth, and the council will meet on Thursday to decide whether to help."
+P3 = "Nobody expects a quick answer, but the mayor said that doing nothing was not an option."
+HAND_WRITTEN = {
+    "blog table layout": (
+        f"""<html><body><table width=100%><tr><td colspan=2 class="top"><a href=/>My Site</a> | <a href=/about>About</a></td></tr><tr><td class="left"><a href=/1>One</a><br><a href=/2>Two</a><br><a href=/3>Three</a></td><td class="content"><h1>Storm ends</h1><p>{P1}</p><p>{P2}</p></td></tr><tr><td colspan=2 class="bottom">&copy; 2019 My Site. All rights reserved.</td></tr></table></body></html>""",
+        ["Storm ends", P1, P2],
+    ),
+    "news with cookie bar": (
+        f"""<!doctype html><html><head><title>x</title></head><body><div id="cookie-banner">We use cookies to improve your visit. <button>Accept</button></div><header><nav><ul><li><a href=/>Home</a><li><a href=/w>World</a></ul></nav></header><main><article><h1>Harbour opens</h1><p class="byline">By A. Writer</p><p>{P1}<p>{P2}<aside class="related"><h3>Read also</h3><ul><li><a href=/x>Other story</a></li></ul></aside><p>{P3}</article></main><footer><p>Contact us | Terms</p></footer></body></html>""",
+        ["Harbour opens", P1, P2, P3],
+    ),
+    "comments": (
+        f"""<body><div class="wrap"><div class="post"><h2>Harbour</h2><div class="entry"><p>{P1}</p><p>{P3}</p></div></div><div id="comments"><h3>2 comments</h3><div class="comment"><b>Ann</b><p>Great news, my father works there and he could not wait to go back to sea.</p></div><div class="comment"><b>Bob</b><p>I do not believe a word of this.</p></div><form><textarea>Leave a reply</textarea></form></div></div></body>""",
+        ["Harbour", P1, P3],
+    ),
+    "forum like sections": (
+        f"""<body><section class="hero"><h1>Harbour report</h1></section><section class="body"><p>{P1}</p><blockquote>{P2}</blockquote><ul><li>Boats return on Monday, said the office.</li><li>Markets open on Tuesday, as always.</li></ul><p>{P3}</p></section><section class="newsletter"><h4>Newsletter</h4><p>Get our best stories every morning.</p><form><input><button>Subscribe</button></form></section></body>""",
+        ["Harbour report", P1, P2, "Boats return on Monday, said the office.", "Markets open on Tuesday, as always.", P3],
+    ),
+    "ad inside": (
+        f"""<body><div class=nav><a href=/a>A</a> <a href=/b>B</a> <a href=/c>C</a></div><div class="story"><h1>Harbour &amp; market</h1><p>{P1}</p><div class="advert"><p>Buy two pairs of boots and get the third for free, only this week in all our shops.</p></div><p>{P2}</p><p>{P3}</p></div><div class=footer>Imprint - Privacy</div></body>""",
+        ["Harbour & market", P1, P2, P3],
+    ),
+    "no article tags": (
+        f"""<body><div><div><a href=/>Start</a><a href=/n>News</a><a href=/s>Sport</a></div><div><h1>Harbour</h1>{P1}<br><br>{P2}</div><div>Copyright 2020 by the paper</div></div></body>""",
+        ["Harbour", P1+" "+P2],
+    ),
+    "rtl nested divs": (
+        f"""<body><div id=page><div id=head><h2>The Daily</h2></div><div id=main-content><div><div><h1>Harbour</h1></div><div><p>{P1}</p></div><div><p>{P2}</p></div></div></div><div id=sidebar><h3>Popular</h3><p>Ten recipes for a long winter evening by the fire.</p></div></div></body>""",
+        ["Harbour", P1, P2],
+    ),
+    "definition list menu": (
+        f"""<body><dl class=menu><dt><a href=/1>Start</a><dd><a href=/2>News</a></dl><article><h1>Harbour</h1><p>{P1}</p><p>{P3}</p></article><div class="share-buttons"><a>Tweet</a><a>Share</a></div></body>""",
+        ["Harbour", P1, P3],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", HAND_WRITTEN)
+def test_hand_written_pages(chain, name):
+    page, want = HAND_WRITTEN[name]
+    assert chain.extract(page).split("\n") == want
