@@ -394,6 +394,12 @@ def _differing(own: list[bytes], source: list[bytes], k: int) -> np.ndarray:
     return np.flatnonzero(total[k:] > total[:-k])
 
 
+def _without(start: int, n: int, bad: np.ndarray) -> list[tuple[int, int]]:
+    """(start, n) of what is left of ``n`` windows."""
+    good = np.setdiff1d(np.arange(start, start + n), bad)
+    return [(int(good[x]), y - x) for x, y in _stretches(good)]
+
+
 def _cut(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """SPANS of a part's documents. Sources in the part are compared here; the others' runs go on with their words."""
     answers, docs = _received(batches)
@@ -433,14 +439,15 @@ def _cut(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
                 for a, b in _stretches(where, (src[theirs], 0), (src_uid[theirs].view(np.int64), 0), (src_at[theirs].astype(np.int64), 1)):
                     one, begin, size = theirs[a], int(where[a]), b - a
                     source = (int(src[one]), int(src_uid[one]))
-                    good = np.arange(begin, begin + size)
+                    good = [(begin, size)]
                     if source in here:
-                        good = np.delete(good, _differing(text[begin : begin + size + k - 1], words_of(source)[src_at[one] : src_at[one] + size + k - 1], k))
+                        bad = _differing(text[begin : begin + size + k - 1], words_of(source)[src_at[one] : src_at[one] + size + k - 1], k)
+                        good = _without(begin, size, bad + begin) if len(bad) else good
                     else:
                         runs.append({"start": begin, "n": size, "src_doc": source[0], "src_uid": _signed(source[1]), "src_at": int(src_at[one]), "words": b" ".join(text[begin : begin + size + k - 1])})
-                    for x, y in _stretches(good):
-                        windows.append({"start": int(good[x]), "n": y - x})
-                        gone[good[x] : good[x] + y - x + k - 1] = True
+                    for x, y in good:
+                        windows.append({"start": x, "n": y})
+                        gone[x : x + y + k - 1] = True
             rows.append(_told(None if not d.known[j] else name[0], name[1], d.list_of(j) if gone.any() else None, d.text_of(j), gone) | {"windows": windows, "runs": runs, "owned": owned})
         yield pa.RecordBatch.from_pylist(rows, _SPANS)
 
@@ -463,10 +470,11 @@ def _told(doc: int | None, uid: int, words: list[bytes] | None, whole: bytes, go
 
 
 def paths(spans: DataFrame) -> DataFrame:
-    """The compacted graph: (doc_id, uid, start, n, path, offset) of each piece of a path.
+    """The compacted graph: (doc_id, uid, stretch, start, n, path, offset) of each piece of a path.
 
-    A piece is a run of ``n`` edges from word ``start`` of the document that owns them;
-    it is the part of its path from edge ``offset`` on. Paths that close on themselves
+    A piece is a run of ``n`` edges from word ``start`` of the document that owns them,
+    in its owned stretch from word ``stretch`` on; it is the part of its path from edge
+    ``offset`` on. Paths that close on themselves
     begin at their smallest piece.
     """
     stretch = ["doc_id", "uid", "start", "n"]
@@ -478,12 +486,12 @@ def paths(spans: DataFrame) -> DataFrame:
     ends = F.concat(F.coalesce("cuts", F.array().cast("array<int>")), F.array("n"))
     begins = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")))
     pieces = stretches.join(inner, stretch, "left").select("doc_id", "uid", "start", "vertices", F.explode(F.arrays_zip(begins.alias("a"), ends.alias("b"))).alias("z"))
-    pieces = pieces.select("doc_id", "uid", (F.col("start") + F.col("z.a")).alias("start"), (F.col("z.b") - F.col("z.a")).alias("n"), F.get("vertices", F.col("z.a")).alias("first"), F.get("vertices", F.col("z.b")).alias("last"))
+    pieces = pieces.select("doc_id", "uid", F.col("start").alias("stretch"), (F.col("start") + F.col("z.a")).alias("start"), (F.col("z.b") - F.col("z.a")).alias("n"), F.get("vertices", F.col("z.a")).alias("first"), F.get("vertices", F.col("z.b")).alias("last"))
     pieces = materialize(pieces.select(F.monotonically_increasing_id().alias("piece"), "*"), "pieces")
     links = pieces.select(F.col("piece").alias("up"), F.col("last").alias("v"), F.col("n").alias("off").cast("long")).join(pieces.select("piece", F.col("first").alias("v")), "v")
     links = links.where("up <> piece").join(small(branching), "v", "left_anti").select("piece", "up", "off")
     return pieces.join(small(_followed(links)), "piece", "left").select(
-        "doc_id", "uid", "start", "n", F.coalesce("root", "piece").alias("path"), F.coalesce("off", F.lit(0)).cast("long").alias("offset")
+        "doc_id", "uid", "stretch", "start", "n", F.coalesce("root", "piece").alias("path"), F.coalesce("off", F.lit(0)).cast("long").alias("offset")
     )
 
 
@@ -528,8 +536,9 @@ def compared(spans: DataFrame, k: int) -> DataFrame:
     runs = runs.join(shares, source).withColumn("share", F.pmod(F.xxhash64("doc_id", "uid", "start"), F.col("shares")).cast("int")).select("*", cell)
     passages = spans.select(F.col("doc_id").alias("src_doc"), F.col("uid").alias("src_uid"), F.explode("owned").alias("o"))
     passages = passages.select(*source, F.col("o.start").alias("start"), F.col("o.n").alias("n"), F.col("o.words").alias("words"))
-    pieces = paths(spans).groupBy(F.col("doc_id").alias("src_doc"), F.col("uid").alias("src_uid")).agg(F.array_sort(F.collect_list(F.struct("start", "n", "path", "offset"))).alias("pieces"))
-    passages = passages.join(pieces, source).join(shares, source).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("*", cell).drop("shares", "share")
+    pieces = paths(spans).groupBy(F.col("doc_id").alias("src_doc"), F.col("uid").alias("src_uid"), F.col("stretch").alias("start"))
+    pieces = pieces.agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("start"), "n", "path", "offset"))).alias("pieces"))
+    passages = passages.join(pieces, [*source, "start"]).join(shares, source).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("*", cell).drop("shares", "share")
     fields = "doc_id long, uid long, start int, n int, bad array<int>, path long, offset long"
     return passages.groupBy("cell").cogroup(runs.drop("shares", "share").groupBy("cell")).applyInArrow(lambda left, right: _compare(left, right, k), fields)
 
@@ -568,8 +577,7 @@ def _recut(texts: pa.Table, rows: pa.Table, k: int) -> pa.Table:
                 continue
             gone, windows = np.zeros(int(docs.words.counts[j]), dtype=bool), []
             for w in r["windows"]:
-                good = np.setdiff1d(np.arange(w["start"], w["start"] + w["n"]), r["bad"])
-                windows += [{"start": int(good[x]), "n": y - x} for x, y in _stretches(good)]
+                windows += [{"start": x, "n": y} for x, y in _without(w["start"], w["n"], np.array(r["bad"]))]
             for w in windows:
                 gone[w["start"] : w["start"] + w["n"] + k - 1] = True
             out.append(_told(doc, uid, docs.list_of(j), b"", gone) | {"windows": windows, "runs": [], "owned": []})
