@@ -73,6 +73,49 @@ def test_scores_of_odd_texts(spark):
     assert quality_model.train(docs, labels.limit(0)).score(np.zeros((1, len(quality_model.STATISTICS)))).tolist() == [0.5]
 
 
+def _plain_statistics(text):
+    """The statistics of one text, counted plainly; sizes are those of UTF-8."""
+    raw, words = text.encode(), brute.words(text)
+    lines = [x for x in text.split("\n") if brute.words(x)]
+    some, chars, n_lines = max(len(words), 1), max(len(raw), 1), max(len(lines), 1)
+    letters = max(sum(c.isascii() and c.isalpha() for c in text), 1)
+    count = lambda among: sum(text.count(c) for c in among)
+    triples = {}
+    for k in range(len(words) - 2):
+        triples.setdefault(tuple(words[k : k + 3]), []).append(k)
+    repeated = {k + j for at in triples.values() if len(at) > 1 for k in at for j in range(3)}
+    return [
+        np.log1p(len(words)), sum(len(w.encode()) for w in words) / some, max((len(w.encode()) for w in words), default=0), sum("A" <= c <= "Z" for c in text) / letters,
+        count("0123456789") / chars, count(".,;:?") / some, count("#*$%&|<>") / some, count("|") / some, count("!") / some, count("#*$%&|<>!") / some, sum(b > 127 for b in raw) / chars,
+        sum(not any(ord(c) > 127 or c.isalnum() for c in w) for w in words) / some, len(repeated) / some, len(set(words)) / some, np.log1p(len(lines)), len(words) / n_lines,
+        sum(x in lines[:k] for k, x in enumerate(lines)) / n_lines, sum(brute.words(x)[-1][-1] in ".!?:;\"')]…”’»。" for x in lines) / n_lines,
+    ]
+
+
+def _plain_score(model, row):
+    margin = model.bias
+    for feature, threshold, value in zip(model.feature.tolist(), model.threshold.tolist(), model.value.tolist()):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + 1 + (row[feature[node]] > threshold[node])
+        margin += value[node - len(feature)]
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_scores_match_a_plain_count(spark):
+    rng = random.Random(6)
+    pieces = ["word", "Word", "two", "a", "é", "100%", "||", "x|y", "end.", "why?", "„so”", "!!!", "日本。", "#tag", "don't", "\x00"]
+    texts = ["", " \n", "\n\n", "one"] + ["".join(rng.choice(pieces) + rng.choice([" ", " ", "\n", "\t", "  "]) for _ in range(rng.choice([1, 3, 40, 200]))) for _ in range(80)]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    want = np.array([_plain_statistics(t) for t in texts])
+    assert np.allclose(quality_model.statistics(np.frombuffer(data, dtype=np.uint8), offsets), want)
+    model = quality_model.fit(want, np.array([rng.random() < 0.5 for _ in texts], dtype=float))
+    docs = spark.createDataFrame([(k, t, "", "", 0, "", "") for k, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.score for r in quality_model.quality_scores(docs, model).collect()}
+    assert all(got[k] == pytest.approx(_plain_score(model, row.tolist())) for k, row in enumerate(want))
+
+
 # ---- page text
 
 
@@ -182,6 +225,10 @@ def test_pipeline_matches_its_plain_version(spark, tmp_path):
     good = seen[0][1].join(quality, "doc_id", "left_semi").count()
     assert seen[0][2].join(quality, "doc_id", "left_semi").count() >= 0.95 * good
 
+    model = quality_model.train(seen[0][1], table(spark, SF_DIR, "labels"))
+    kept = {r.doc_id for r in seen[0][1].collect() if _plain_score(model, _plain_statistics(r.text or "")) >= quality_model.THRESHOLD}
+    assert {r.doc_id for r in seen[0][2].collect()} == kept
+
     before = [(r.doc_id, r.text) for r in seen[1][1].collect()]
     want = {d for d, (_, c) in brute.near_dup(before).items() if d == c}
     assert {r.doc_id for r in seen[1][2].collect()} == want
@@ -198,6 +245,26 @@ def test_pipeline_matches_its_plain_version(spark, tmp_path):
             clean.add(r.doc_id)
     assert {r.doc_id for r in seen[2][2].collect()} == clean
 
+    # every source comes within its largest document of its share, by whole rows taken at most three times
+    given = {r.doc_id: r for r in seen[3][1].collect()}
+    size = {d: len(brute.words(r.text)) for d, r in given.items()}
+    sources = sorted({r.source for r in given.values()}, key=lambda x: (x is None, x))
+    of = {x: [d for d, r in given.items() if r.source == x] for x in sources}
+    total = {x: sum(size[d] for d in of[x]) for x in sources}
+    level = [x for x in sources]
+    share, rest, fixed = {x: (5, 2, 1)[k % 3] for k, x in enumerate(sources)}, sum(total.values()), {}
+    while level:
+        part = (rest - sum(fixed.values())) / sum(share[x] for x in level)
+        over = [x for x in level if 3 * total[x] <= part * share[x]]
+        fixed |= {x: 3 * total[x] for x in over} if over else {x: part * share[x] for x in level}
+        level = [x for x in level if x not in fixed]
+    times: dict[int, int] = {}
+    for r in seen[3][2].collect():
+        assert r == given[r.doc_id]
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert max(times.values()) <= 3
+    assert all(abs(sum(size[d] * times.get(d, 0) for d in of[x]) - fixed[x]) <= max(size[d] for d in of[x]) for x in sources)
+
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_shards.default_tokenizer())
