@@ -208,21 +208,21 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-def _sorted_out(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], dict[int, list[dict]]]:
-    """(answers that only pass through, entries by bucket)."""
-    passing, held = [], {}
-    for row in _rows(batches):
-        if row["kind"] == ANSWER:
-            passing.append(pa.RecordBatch.from_pylist([row | {"to": row["part"]}], _MESSAGE))
-        else:
+def _sorted_out(batches: Iterator[pa.RecordBatch], held: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
+    """The answers that only pass through; entries are put into ``held`` by bucket."""
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        passing = batch.filter(pa.array(kind == ANSWER))
+        if len(passing):
+            yield passing.set_column(0, "to", passing.column("part"))
+        for row in batch.filter(pa.array(kind != ANSWER)).to_pylist():
             held.setdefault(row["to"], []).append(row)
-    return passing, held
 
 
 def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Answers: the anchors of each document that others have."""
-    passing, held = _sorted_out(batches)
-    yield from passing
+    held: dict[int, list[dict]] = {}
+    yield from _sorted_out(batches, held)
     for rows in held.values():
         doc, uid, key, known = _entries(rows, ("keys", "at"))
         shared, _ = _several(doc, key)
@@ -359,8 +359,8 @@ def _with_source(doc: np.ndarray, uid: np.ndarray, at: np.ndarray, hit: np.ndarr
 
 def _sources(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Answers: a document's repeated edges with their owners' coordinates; owners have their own."""
-    passing, held = _sorted_out(batches)
-    yield from passing
+    held: dict[int, list[dict]] = {}
+    yield from _sorted_out(batches, held)
     for rows in held.values():
         doc, uid, edge, at, known = _entries(rows, ("keys", "at", "src_at"))
         lead, later = _owners(doc, uid, edge, at)
