@@ -14,8 +14,9 @@
    against all others of another component. Either in salted blocks, by sketch; or by
    prefixes: texts of that similarity share one of the rarest shingles of both, of which a
    quarter of the set and one more need be looked at, so families that share most of a
-   text and are not similar make no pairs. Both find every link; the one with fewer pairs
-   is taken. Pairs inside one component are never made.
+   text and are not similar make no pairs. Both find every link; prefixes are tried where
+   pairs outnumber the members' shingles by far, and taken if they make fewer pairs. Pairs
+   inside one component are never made.
 5. Components come from contraction joins.
 
 Two documents of similarity 0.75 share a band with probability 1 - 5e-6, and the
@@ -44,6 +45,8 @@ BANDS, ROWS = 32, 4
 BINS, SKETCH_BITS = 8192, 2048
 #: Members of one block of a bucket that is compared pair by pair, and rows of blocks in one group.
 BLOCK, CELL_ROWS = 1024, 8192
+#: Pairs of a block that cost as much as one shingle on its way through two shuffles.
+PAIRS_PER_SHINGLE = 20
 #: Turns of further heads at most, and pairs left from which the exact finish is cheaper than a turn.
 TURNS, FINISH_PAIRS = 8, 200_000
 
@@ -377,7 +380,8 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFr
     open_ = materialize(open_buckets(placed), "open")
     blocks = open_.agg(F.sum(F.col("members") * F.col("outside"))).first()[0] or 0
     prefix, shared = None, blocks
-    if blocks > FINISH_PAIRS:
+    shingles = placed.join(small(materialize(open_.select("bucket"), "open-buckets")), "bucket", "left_semi").select("doc_id").distinct().join(reps, "doc_id") if blocks > FINISH_PAIRS else None
+    if shingles is not None and blocks > PAIRS_PER_SHINGLE * (shingles.agg(F.sum("n_shingles")).first()[0] or 0):
         prefix = prefixes(docs, placed, open_, percent)
         loads = prefix.groupBy("token").agg((F.count_if("outside") * F.count("*")).alias("pairs"))
         shared = loads.agg(F.sum("pairs")).first()[0] or 0

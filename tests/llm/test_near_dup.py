@@ -81,6 +81,7 @@ def test_rows_of_one_id_and_of_none(spark):
 def test_a_family_that_is_not_similar(spark, monkeypatch, way):
     """Texts that share 60 % of their shingles, with some links among them, however they are finished."""
     monkeypatch.setattr(nd, "FINISH_PAIRS", 0 if way == "prefixes" else 10**12)
+    monkeypatch.setattr(nd, "PAIRS_PER_SHINGLE", 0)
     monkeypatch.setattr(nd, "TURNS", 1)
     made = {}
     if way == "prefixes":
@@ -99,10 +100,11 @@ def test_a_family_that_is_not_similar(spark, monkeypatch, way):
         assert made["pairs"].count() < 500  # of 96,000
 
 
-def test_a_large_family_needs_few_pairs(spark):
-    """5,000 texts that share 60 % of their shingles: 12 million pairs that are never made."""
+def test_a_large_family_needs_few_pairs(spark, monkeypatch):
+    """1,500 texts that share 60 % of their shingles: a million pairs that are never made."""
+    monkeypatch.setattr(nd, "PAIRS_PER_SHINGLE", 0)
     shared = [f"s{k}" for k in range(64)]
-    docs = [(d, " ".join([*shared, *(f"x{d}y{k}" for k in range(16))])) for d in range(5000)]
-    docs += [(d + 5000, t.replace("y15", "y16")) for d, t in docs[::50]]
+    docs = [(d, " ".join([*shared, *(f"x{d}y{k}" for k in range(16))])) for d in range(1500)]
+    docs += [(d + 1500, t.replace("y15", "y16")) for d, t in docs[::50]]
     got = _rows(spark, docs)
-    assert all(got[d][1] == (d if d < 5000 else d - 5000) for d, _ in docs)
+    assert all(got[d][1] == (d if d < 1500 else d - 1500) for d, _ in docs)
