@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,15 @@ def trimmed(text: Column, how: str, characters: str) -> Column:
     return text if how == "none" else _TRIM[how](text, F.lit(characters))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used.
+
+    Written out, the uses of a number's text make methods of the generated code that are
+    too long for the JVM to compile, and slow by a factor of ten.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fixed_number(text: Column, scale: int = 0, signed: str | None = None) -> Column:
     """A fixed-width amount, null where it is none.
 
@@ -33,40 +44,51 @@ def fixed_number(text: Column, scale: int = 0, signed: str | None = None) -> Col
     numbers with a point, are read by casts; patterns judge only what those refuse.
     """
     unit = F.lit(float(10**scale))
-    spaced = F.trim(text)
-    last = F.substring(spaced, -1, 1)
-    body = F.when(last.isin("+", "-"), F.substring(spaced, 1, F.length(spaced) - 1)).otherwise(spaced) if signed in (None, "trailing") else spaced
-    # digits and signs at both ends: nothing that a cast would trim or read otherwise
-    plain = F.ascii(spaced).between(43, 57) & F.ascii(F.substring(body, -1, 1)).between(43, 57)
-    whole = F.when(plain, body.try_cast("long")).cast("double")
-    pointed = F.when(plain & F.contains(body, F.lit(".")) & (F.lower(body) == F.upper(body)), body.try_cast("double"))
-    size = F.coalesce(F.abs(whole) / unit if scale else F.abs(whole), F.abs(pointed), _odd_number(text, scale, signed))
-    return F.when(F.contains(spaced, F.lit("-")), -size).otherwise(size)
+
+    def read(spaced: Column, body: Column) -> Column:
+        # digits and signs at both ends: nothing that a cast would trim or read otherwise
+        plain = F.ascii(spaced).between(43, 57) & F.ascii(F.substring(body, -1, 1)).between(43, 57) & ~F.contains(body, F.lit(",")) & (F.lower(body) == F.upper(body))
+        quick = F.abs(F.when(plain, body.try_cast("double")))  # a cast to a whole number throws for each point
+        if scale:
+            quick = F.when(F.contains(body, F.lit(".")), quick).otherwise(quick / unit)
+        size = F.coalesce(quick, _odd_number(spaced, scale, signed))
+        return size * F.when(F.contains(spaced, F.lit("-")), -1.0).otherwise(1.0)
+
+    def unsigned(spaced: Column) -> Column:
+        if signed not in (None, "trailing"):
+            return spaced
+        return F.when(F.substring(spaced, -1, 1).isin("+", "-"), F.substring(spaced, 1, F.length(spaced) - 1)).otherwise(spaced)
+
+    return let(F.trim(text), lambda spaced: F.when(spaced != "", let(unsigned(spaced), lambda body: read(spaced, body))))
 
 
 def _odd_number(text: Column, scale: int, signed: str | None) -> Column:
-    """The size of any amount, by patterns; flat, so that plans do not grow with it."""
-    s = F.btrim(text, F.lit(BLANKS))
+    """The size of any amount, by patterns."""
     trail = "[+-]?" if signed in (None, "trailing") else ""
-    valid = s.rlike(rf"\A[+-]?(?=[0-9.,]*[0-9])[0-9]*[.,]?[0-9]*{trail}\z")
-    digits = F.replace(F.regexp_replace(s, "[+-]", ""), F.lit(","), F.lit(".")).try_cast("double")
-    value = F.when(s.rlike("[.,]"), digits).otherwise(digits / F.lit(float(10**scale))) if scale else digits
-    return F.when((s != "") & valid, value)
+
+    def read(s: Column) -> Column:
+        valid = s.rlike(rf"\A[+-]?(?=[0-9.,]*[0-9])[0-9]*[.,]?[0-9]*{trail}\z")
+        digits = F.replace(F.regexp_replace(s, "[+-]", ""), F.lit(","), F.lit(".")).try_cast("double")
+        value = F.when(s.rlike("[.,]"), digits).otherwise(digits / F.lit(float(10**scale))) if scale else digits
+        return F.when(valid, value)
+
+    return let(F.btrim(text, F.lit(BLANKS)), read)
 
 
 def field_number(text: Column) -> Column:
     """A number of a separated field, null where it is none; a first comma is a point."""
-    s = F.btrim(text, F.lit(WHITE_SPACE))
-    # digits, a point and a sign need no pattern
-    plain = F.ascii(s).between(43, 57) & F.ascii(F.substring(s, -1, 1)).between(43, 57) & ~F.contains(s, F.lit(",")) & (F.lower(s) == F.upper(s))
-    quick = F.when(plain, s.try_cast("double"))
-    s = F.regexp_replace(s, r"\A([^,]*),", "$1.")
-    radix = F.coalesce(
-        *(F.when(s.rlike(rf"\A(?i:{p})[{d}]+\z"), F.conv(F.substring(s, 3, 1000), b, 10).cast("double")) for p, d, b in (("0x", "0-9a-fA-F", 16), ("0o", "0-7", 8), ("0b", "01", 2)))
-    )
-    number = F.when(s.rlike(_JS_DECIMAL), s.try_cast("double"))
-    value = F.coalesce(quick, number, radix)
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+
+    def read(s: Column) -> Column:
+        # digits, a point and a sign need no pattern
+        plain = F.ascii(s).between(43, 57) & F.ascii(F.substring(s, -1, 1)).between(43, 57) & ~F.contains(s, F.lit(",")) & (F.lower(s) == F.upper(s))
+        value = F.coalesce(F.when(plain, s.try_cast("double")), let(F.regexp_replace(s, r"\A([^,]*),", "$1."), odd))
+        return F.when(F.abs(value) < F.lit(float("inf")), value)
+
+    def odd(s: Column) -> Column:
+        radix = (F.when(s.rlike(rf"\A(?i:{p})[{d}]+\z"), F.conv(F.substring(s, 3, 1000), b, 10).cast("double")) for p, d, b in (("0x", "0-9a-fA-F", 16), ("0o", "0-7", 8), ("0b", "01", 2)))
+        return F.coalesce(F.when(s.rlike(_JS_DECIMAL), s.try_cast("double")), *radix)
+
+    return let(F.btrim(text, F.lit(WHITE_SPACE)), lambda s: F.when(s != "", read(s)))
 
 
 class Cells:

@@ -15,7 +15,7 @@ from ledgerline.operators.filters import ColumnFilter, combined
 from ledgerline.operators.predicates import Predicate
 from ledgerline.profile import Profile, beside, infer_columns
 from ledgerline.sources import exports
-from ledgerline.sources.records import BLOCK, Numbering, head, line_ending, read_fixed, scan_records
+from ledgerline.sources.records import BLOCK, Numbering, head, line_ending, once, read_fixed, scan_records
 
 ROW, VALUE = "_row", "value"
 SAMPLE_RECORDS, INFER_RECORDS, PAGE_ROWS = 200, 20, 2048
@@ -60,7 +60,7 @@ class FlatFrame:
         value = F.col(payload)
         if dict(df.dtypes)[payload] == "string":
             value = F.encode(value, "UTF-8" if profile.encoding == "utf8" else "ISO-8859-1")
-        return cls(df.select(F.col(row).cast("long").alias(ROW), value.alias(VALUE)), profile)
+        return cls(df.select(F.col(row).cast("long").alias(ROW), once(value).alias(VALUE)), profile)
 
     def with_profile(self, profile: Profile) -> FlatFrame:
         """The same records under another layout; framing must not change."""

@@ -196,8 +196,10 @@ class Field:
         def build(cells: Cells) -> Column:
             if self._numeric(cells) or (_is_number(low) and _is_number(high)):
                 a, b, v = js_number(low), js_number(high), self._number(cells)
-                inside = F.lit(False) if math.isnan(a) or math.isnan(b) else v.between(F.lit(a), F.lit(b))
-                return F.when(v.isNull(), F.lit(False)).otherwise(~inside if negated else inside)
+                if math.isnan(a) or math.isnan(b):
+                    return v.isNotNull() if negated else F.lit(False)
+                inside = v.between(F.lit(a), F.lit(b))
+                return F.coalesce(~inside if negated else inside, F.lit(False))
             inside = cells.text(self.name).between(F.lit(js_string(low)), F.lit(js_string(high)))
             return ~inside if negated else inside
 

@@ -33,6 +33,11 @@ def without_cr(value: Column) -> Column:
     return F.when(F.substring(value, -1, 1) == F.lit(b"\r"), F.substring(value, 1, F.octet_length(value) - 1)).otherwise(value)
 
 
+def once(value: Column) -> Column:
+    """``value``, computed once a row: filters above it are not pushed below, which would repeat it for every use."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 BLOCK = ["_given", "_file", "_start"]
 
 
@@ -86,7 +91,7 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFram
     """
     raw = F.col("value").cast("binary")
     meta = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.col("_metadata.file_size").alias("_size")]
-    columns = [*meta, F.monotonically_increasing_id().alias("_at"), (F.octet_length(raw) + 1).cast("long").alias("_bytes"), without_cr(raw).alias("value")]
+    columns = [*meta, F.monotonically_increasing_id().alias("_at"), (F.octet_length(raw) + 1).cast("long").alias("_bytes"), once(without_cr(raw)).alias("value")]
     given = [path] if isinstance(path, str) else list(path)
     scans = (spark.read.option("lineSep", "\n").text(p).select(F.lit(k).alias("_given"), *columns) for k, p in enumerate(given))
     scan = reduce(DataFrame.unionByName, scans)
